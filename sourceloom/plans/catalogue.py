@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sourceloom.plans import references
+from sourceloom.plans import references, retrieval
 
-_MODULES = (references,)
+_MODULES = (references, retrieval)
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracles() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return references.p1_report(spark, sf_dir)
+    return retrieval.hybrid_search(spark, sf_dir)
