@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions.text import lines, newline_count, path_filter, rough_tokens, source_type
 from sourceloom.operators.chunking import line_windows
 from sourceloom.operators.compress import compress, kept_lines, scored_lines
-from sourceloom.operators.index import build_index, symbol_windows, window_symbols
+from sourceloom.operators.index import build_index, query_index, symbol_windows, window_symbols
 from sourceloom.operators.rank import search, search_workspace, top_bm25
 from sourceloom.operators.slots import greedy_pack, pack_stats, render_prompt
 from sourceloom.session import spread, table
@@ -72,11 +72,11 @@ def corpus_stats(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return top_bm25(build_index(_documents(spark, sf_dir)), QUERY, 20).select("project", "doc_key", "rank", F.round("bm25", 6).alias("bm25"))
+    return top_bm25(query_index(_documents(spark, sf_dir), QUERY), QUERY, 20).select("project", "doc_key", "rank", F.round("bm25", 6).alias("bm25"))
 
 
 def bm25_bag_query(spark, sf_dir):
-    return top_bm25(build_index(_documents(spark, sf_dir)), BAG_QUERY, 20).select("project", "doc_key", "rank", F.round("bm25", 6).alias("bm25"))
+    return top_bm25(query_index(_documents(spark, sf_dir), BAG_QUERY), BAG_QUERY, 20).select("project", "doc_key", "rank", F.round("bm25", 6).alias("bm25"))
 
 
 def _symbols(spark, sf_dir):
@@ -101,12 +101,12 @@ def _name_windows(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    index = build_index(_windows(spark, sf_dir))
+    index = query_index(_windows(spark, sf_dir), HYBRID_QUERY)
     return search(index, _name_windows(spark, sf_dir), HYBRID_QUERY, 10).select("project", "doc_key", "final_rank", F.round("score", 6).alias("score"))
 
 
 def workspace_search(spark, sf_dir):
-    index = build_index(_windows(spark, sf_dir))
+    index = query_index(_windows(spark, sf_dir), HYBRID_QUERY)
     return search_workspace(index, _name_windows(spark, sf_dir), HYBRID_QUERY, 25).select("project", "doc_key", F.round("score", 6).alias("score"))
 
 
