@@ -55,13 +55,17 @@ def build_index(documents: DataFrame, text_col: str = "content") -> Index:
     return Index(documents, postings, term_stats, sizes)
 
 
+def _equals(term: str):
+    return lambda x: x == term
+
+
 def query_index(documents: DataFrame, query: str, text_col: str = "content") -> Index:
     """An index of the terms of one query only, from one pass over the texts:
     per document its length and how often each term occurs. That much is
     written to a checkpoint; nothing else is shuffled but counts."""
     terms = sorted(set(query_tokens(query)))
     worded = documents.select("project", "doc_key", F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
-    counts = F.array(*[F.struct(F.lit(q).alias("term"), F.size(F.filter("t", lambda x, q=q: x == q)).cast("bigint").alias("tf")) for q in terms])
+    counts = F.array(*[F.struct(F.lit(q).alias("term"), F.size(F.filter("t", _equals(q))).cast("bigint").alias("tf")) for q in terms])
     base = durable(worded.select("project", "doc_key", F.size("t").alias("dl"), counts.alias("c"))) if terms else worded.select("project", "doc_key", F.size("t").alias("dl"), F.lit(None).cast("array<struct<term:string,tf:bigint>>").alias("c"))
     postings = base.select("project", "doc_key", "dl", F.inline(F.filter("c", lambda x: x["tf"] > 0)))
     term_stats = postings.groupBy("project", "term").agg(F.count(F.lit(1)).alias("df"))
