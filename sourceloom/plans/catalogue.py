@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sourceloom.plans import references, retrieval
+from sourceloom.plans import references, retrieval, scans
 
-_MODULES = (references, retrieval)
+_MODULES = (references, retrieval, scans)
 
 
 def queries() -> dict:
