@@ -122,11 +122,12 @@ def run_analysis(files: DataFrame) -> Analysis:
     sources = analysis_files(files)
     tables: dict[str, DataFrame] = {}
     failed: list[tuple[str, str]] = []
+    detected = {r["framework"] for r in frameworks.select("framework").distinct().collect()}  # at most those registered
     for name, schema in SCHEMAS.items():
         out = spark.createDataFrame([], schema)
         for extractor in REGISTRY.values():
             build = extractor.tables.get(name)
-            if build is None:
+            if build is None or extractor.name not in detected:
                 continue
             own = sources.join(F.broadcast(frameworks.where(F.col("framework") == extractor.name).select("project")), "project", "left_semi")
             try:

@@ -275,7 +275,7 @@ def test_skeletons(specs: DataFrame, projects: DataFrame | None = None) -> DataF
     hit = F.get(F.filter("apis", lambda a: F.contains(low, F.lower(a["method"])) | F.contains(low, F.lower(a["path"]))), 0)
     note = F.when(hit.isNotNull() & (F.col("type") == "backend"), F.concat(F.lit("    # API: "), hit["method"], F.lit(" "), hit["path"]))
     python = F.concat_ws("\n", F.concat(F.lit("def test_"), _function_name(F.col("case")), F.lit("():")), F.lit('    """'), F.concat(F.lit("    "), "case"), F.lit('    """'), note, F.lit("    # TODO: implement"), F.lit("    raise NotImplementedError"), F.lit(""), F.lit(""))
-    script = F.concat_ws("\n", F.concat(F.lit('  it("'), F.regexp_replace("case", '"', '\\\\\\\\"'), F.lit('", () => {')), F.lit("    // TODO: implement"), F.lit("    throw new Error('Not implemented');"), F.lit("  });"), F.lit(""))
+    script = F.concat_ws("\n", F.concat(F.lit('  it("'), F.replace(F.col("case"), F.lit('"'), F.lit('\\"')), F.lit('", () => {')), F.lit("    // TODO: implement"), F.lit("    throw new Error('Not implemented');"), F.lit("  });"), F.lit(""))
     rows = rows.withColumn("block", F.when(F.col("type") == "backend", python).otherwise(script))
     grouped = rows.groupBy("spec_id", "section", "type", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_ord", "block"))), lambda s: s["block"]), "\n").alias("body"))
     safe = F.lower(F.regexp_replace("spec_id", "[^a-zA-Z0-9_]", "_"))

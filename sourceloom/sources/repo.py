@@ -60,7 +60,7 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        o = self.options
+        o = {k.lower(): v for k, v in self.options.items()}
 
         def words(key: str) -> list[str]:
             return [x for x in (o.get(key) or "").split(",") if x]
@@ -70,7 +70,7 @@ class _Reader(DataSourceReader):
             root = os.path.abspath(root)
             project = os.path.basename(root)
             for path, full, size in walk(root, tuple(words("ignored")) or SCAN_IGNORED, tuple(words("extensions")), words("include"), words("exclude")):
-                if not o.get("maxBytes") or size <= int(o["maxBytes"]):
+                if not o.get("maxbytes") or size <= int(o["maxbytes"]):
                     found.append((size, project, path, full))
         n = max(1, min(int(o.get("partitions") or 8), len(found)))
         parts: list[list] = [[] for _ in range(n)]
