@@ -81,7 +81,8 @@ def _master(language: str) -> re.Pattern:
         parts.append(r'(?P<open>(?:b|c|br|cr|r)?"|(?:br|cr|r)\#+")')
         parts.append(r"(?P<string>b?'(?:[^'\\\n]|\\[^\n]{1,11}?)')")
         parts.append(rf"(?P<life>'{_WORD})")
-    parts.append(rf"(?P<num>{_NUMBER}\w*)" if language != "python" else rf"(?P<num>{_NUMBER}\w*)")
+    number = _NUMBER.rsplit("|", 1)[0] + ")" if language == "rust" else _NUMBER
+    parts.append(rf"(?P<num>{number}\w*)")
     if language in ("javascript", "typescript"):
         parts.append(r"(?P<id>\#?(?:[^\W\d]|\$)(?:\w|\$)*)")
     elif language == "java":
