@@ -94,8 +94,8 @@ def orphan_references(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """The distinct rows of calls whose route did not exist at ``scanned_at``,
     with ``period`` (its month).
 
-    References are first counted per key and month; the keys alone meet the
-    routes. Hot keys, each with more than one in HOT_ONE_IN of all references,
+    References are first counted per key and month, repeats included; the keys
+    alone meet the routes. Hot keys, each with more than one in HOT_ONE_IN of all references,
     are too few to be large and are broadcast, after a check of their number;
     the other keys are shuffled, and both kinds of orphans are united.
 
@@ -106,9 +106,9 @@ def orphan_references(calls: DataFrame, routes: DataFrame) -> DataFrame:
     count once; other columns pass through; empty tables give an empty result,
     or all references when there are no routes.
     """
-    named = calls.distinct().where(F.col("path").isNotNull() & ~F.col("path").rlike(r"^(?i)https?://"))
+    named = calls.where(F.col("path").isNotNull() & ~F.col("path").rlike(r"^(?i)https?://"))
     refs = named.withColumn("__method", clean_method(F.col("method"))).withColumn("__segments", call_segments(F.col("path")))
-    refs = refs.withColumn("__key", F.sha2(F.to_json(F.struct(F.col("project").alias("p"), F.col("__method").alias("m"), F.col("__segments").alias("s"))), 256))
+    refs = refs.withColumn("__key", F.unhex(F.md5(F.to_json(F.struct(F.col("project").alias("p"), F.col("__method").alias("m"), F.col("__segments").alias("s"))))))
     refs = refs.withColumn("period", F.date_trunc("month", F.col("scanned_at")))
     counted = refs.groupBy(F.col("__key").alias("key"), "period").agg(
         F.count(F.lit(1)).alias("refs"),
@@ -129,9 +129,10 @@ def orphan_references(calls: DataFrame, routes: DataFrame) -> DataFrame:
     exists = F.exists(F.coalesce("periods", F.array()), lambda p: (p["since"] <= F.col("scanned_at")) & (p["until"] > F.col("scanned_at")))
     dead = ~F.coalesce(exists, F.lit(False))
     small = under(hot, HOT_ROWS)
+    refs = refs.drop("__method", "__segments")
     hot_refs = refs.join(F.broadcast(hot) if small else hot, "__key").where(dead)
     rest_refs = refs.join(rest, "__key").where(dead)
-    return hot_refs.unionByName(rest_refs).drop("__method", "__segments", "__key", "periods")
+    return hot_refs.unionByName(rest_refs).drop("__key", "periods").distinct()
 
 
 def orphan_report(calls: DataFrame, routes: DataFrame, table: str = "api_calls") -> DataFrame:

@@ -7,8 +7,8 @@ from sourceloom.session import table
 
 
 def p1_found(spark, sf_dir):
-    found = orphan_references(table(spark, sf_dir, "api_calls"), table(spark, sf_dir, "routes"))
-    return found.select("call_id").distinct()
+    calls = table(spark, sf_dir, "api_calls").select("call_id", "project", "method", "path", "scanned_at")
+    return orphan_references(calls, table(spark, sf_dir, "routes")).select("call_id").distinct()
 
 
 def p1_report(spark, sf_dir):
