@@ -70,9 +70,9 @@ _NETRC = re.compile(r"""\blogin[ \t]+\S+[ \t]+(?P<name>password)[ \t]+(?P<plain>
 _OPTION = re.compile(rf"""(?<![\w-])--?(?P<name>{_NAME}?)(?:=|[ \t]+){_QUOTED[:-1]}|(?P<plain>[^\s"'`,;<>(){{}}\[\]|-][^\s"'`<>|]*))""")
 _USER_OPTION = re.compile(r"""(?<![\w-])(?:-u|--user)[ \t]+["']?[\w.-]+:(?P<plain>[^\s"'`<>]+)""")
 _DOCKER = re.compile(rf"""^[ \t]*ENV[ \t]+(?P<name>{_NAME})[ \t]+(?:{_QUOTED}|{_PLAIN})""", re.M)
-_BELOW = re.compile(rf"""(?:(?P<name>{_NAME})["']?[ \t]*:[ \t]*\r?\n|\bname:[ \t]*["']?(?P<name2>{_NAME})["']?[ \t]*\r?\n)[ \t]*value:[ \t]*(?:{_QUOTED}|{_PLAIN})""")
-_PARTS = re.compile(rf"""(?P<name>{_NAME})["']?\]?[ \t]*(?::[ \t]*[\w &]+)?(?::=|=|:)[ \t]*\(?[ \t]*(?:\\)?\r?\n(?P<parts>(?:[ \t]*(?:"[^"\n]*"|'[^'\n]*')[ \t]*[+\\.]?[ \t]*\r?\n?){{1,40}})""")
-_SAME_LINE_PARTS = re.compile(rf"""(?P<name>{_NAME})["']?\]?[ \t]*(?::=|=|:)[ \t]*(?P<parts>(?:"[^"\n]*"|'[^'\n]*')(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'))+)""")
+_BELOW = re.compile(rf"""(?:(?<![\w.-])(?P<name>{_NAME})["']?[ \t]*:[ \t]*\r?\n|\bname:[ \t]*["']?(?P<name2>{_NAME})["']?[ \t]*\r?\n)[ \t]*value:[ \t]*(?:{_QUOTED}|{_PLAIN})""")
+_PARTS = re.compile(rf"""(?<![\w.-])(?P<name>{_NAME})["']?\]?[ \t]*(?::[ \t]*[\w &]+)?(?::=|=|:)[ \t]*\(?[ \t]*(?:\\)?\r?\n(?P<parts>(?:[ \t]*(?:"[^"\n]*"|'[^'\n]*')[ \t]*[+\\.]?[ \t]*\r?\n?){{1,40}})""")
+_SAME_LINE_PARTS = re.compile(rf"""(?<![\w.-])(?P<name>{_NAME})["']?\]?[ \t]*(?::=|=|:)[ \t]*(?P<parts>(?:"[^"\n]*"|'[^'\n]*')(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'))+)""")
 _PART = re.compile(r"""["']([^"'\n]*)["']""")
 _BLOCK = re.compile(r"-----BEGIN (?P<what>[A-Z0-9 ]+)-----(?P<body>.*?)(?:-----END (?P=what)-----|(?=-----BEGIN)|\Z)", re.S)
 _BODY_LINE = re.compile(r"^[ \t>#*/|\"'+]*[A-Za-z0-9+/=]{1,120}[\"'+,;\\]*[ \t]*\r?$|^[ \t]*(?:Proc-Type|DEK-Info|Version|Comment):.*$|^[ \t\r]*$")
@@ -80,6 +80,9 @@ _DATA_URI = re.compile(r"data:[\w.+-]+/[\w.+-]+(?:;[\w=.-]+)*;base64,[A-Za-z0-9+
 _DIGEST = re.compile(r"\b(?:sha(?:1|224|256|384|512)|md5|blake2b?)[-:=][A-Za-z0-9+/=_-]{16,}|\bssh-(?:rsa|ed25519|dss)[ \t]+[A-Za-z0-9+/=]{20,}", re.I)
 _TOKEN = re.compile(r"(?<![\w+/=.%-])[A-Za-z0-9_][A-Za-z0-9_+/.=-]{15,}[A-Za-z0-9_=](?![\w+/=.-])")
 _ISSUED = re.compile(r"^[A-Za-z]{2,8}(?:[_-][a-z]{2,8}){0,2}[_.-][A-Za-z0-9]{14,}$")
+_HINT_WORDS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "signature", "jwt", "bearer", "basic", "login", "passwd")
+_HINT = re.compile(r"(?<![a-z])(?:sig|pat)(?![a-z])|s[aeiou]*c[aeiou]*r[aeiou]*ts?(?![a-z])|c[aeiou]*r[aeiou]*d[aeiou]*nt|p[aeiou]*s+[aeiou]*wr?[aeiou]*d|p[aeiou]*s+[aeiou]*phr")
+_BROKEN_UP = re.compile(r"""[=:(][ \t]*\\?\r?\n[ \t]*["']|["'][ \t]*\+[ \t]*["']""")
 _JWT = re.compile(r"^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}$")
 _ACCESS_ID = re.compile(r"^[A-Z]{4}[A-Z0-9]{12,20}$")
 
@@ -251,22 +254,26 @@ def find_credentials(text: str, name: str | None = None) -> list[tuple[list[tupl
         if free(a, b) and "://" not in value and not value.lstrip().startswith(("{", "[")) and is_credential(value, says, quoted):
             take([(a, b)], how)
 
-    for m in _USERINFO.finditer(text):
+    low = text.lower()
+    hinted = any(w in low for w in _HINT_WORDS) or bool(_HINT.search(low))
+    for m in _USERINFO.finditer(text) if "://" in text and "@" in text else ():
         value, a, b, _ = group(m)
         if free(a, b) and not is_stand_in(value) and len(value) >= 4 and (_jumbled(value) or not _WORDLIKE.match(value)):
             take([(a, b)], "address")
-    for m in _USER_OPTION.finditer(text):
+    for m in _USER_OPTION.finditer(text) if "-u" in text else ():
         value, a, b, _ = group(m)
         if free(a, b) and is_credential(value, "secret", False):
             take([(a, b)], "command")
-    for pattern in (_PARTS, _SAME_LINE_PARTS):
+    for pattern in (_PARTS, _SAME_LINE_PARTS) if hinted and _BROKEN_UP.search(text) else ():
         for m in pattern.finditer(text):
             spans = [p.span(1) for p in _PART.finditer(text, *m.span("parts"))]
             value = "".join(text[a:b] for a, b in spans)
             says = name_says(m.group("name"))
             if spans and all(free(a, b) for a, b in spans) and is_credential(value, says, True) and (says == "secret" or len(spans) > 1):
                 take(spans, "parts")
-    for pattern, how in ((_BELOW, "document"), (_ATTRIBUTES, "document"), (_PAIRED, "argument"), (_SETTER, "argument"), (_NETRC, "command"), (_PARAMETER, "address")):
+    for pattern, how in ((_BELOW, "document"), (_ATTRIBUTES, "document"), (_PAIRED, "argument"), (_SETTER, "argument"), (_NETRC, "command"), (_PARAMETER, "address")) if hinted else ():
+        if pattern is _BELOW and "value:" not in text or pattern is _ATTRIBUTES and "value=" not in low or pattern is _NETRC and "login" not in text or pattern is _PARAMETER and "=" not in text:
+            continue
         for m in pattern.finditer(text):
             value, a, b, quoted = group(m)
             given = m.group("name") or (m.groupdict().get("name2") or "")
@@ -274,7 +281,7 @@ def find_credentials(text: str, name: str | None = None) -> list[tuple[list[tupl
             if pattern is _PAIRED and re.search(r"auth|api|key|token", given, re.I) and re.match(r"X-|Authorization", given, re.I):
                 says = "secret"
             consider(value, a, b, says, quoted or pattern in (_PARAMETER, _NETRC), how)
-    for m in _SCHEME.finditer(text):
+    for m in _SCHEME.finditer(text) if hinted else ():
         value, a, b, _ = group(m)
         value = value.rstrip("\\.,")
         b = a + len(value)
@@ -286,7 +293,7 @@ def find_credentials(text: str, name: str | None = None) -> list[tuple[list[tupl
             good = looks_random(value)
         if free(a, b) and good and not is_stand_in(value):
             take([(a, b)], "scheme")
-    for pattern in (_OPTION, _DOCKER, _ASSIGNED):
+    for pattern in (_OPTION, _DOCKER, _ASSIGNED) if hinted else ():
         at = 0
         while True:
             m = pattern.search(text, at)
