@@ -174,7 +174,7 @@ def file_evidence(sources: DataFrame) -> DataFrame:
         for pdf in batches:
             seen = [content_evidence(p, c) for p, c in zip(pdf["path"], pdf["content"])]
             yield pd.DataFrame(
-                {"file_id": pdf["file_id"], "project": pdf["project"], "path": pdf["path"], "shown": [s for s, _ in seen], "named": [path_evidence(p) for p in pdf["path"]], "code_hash": pd.array([h for _, h in seen], dtype="Int64")}
+                {"file_id": pdf["file_id"], "project": pdf["project"].tolist(), "path": pdf["path"].tolist(), "shown": [s for s, _ in seen], "named": [path_evidence(p) for p in pdf["path"]], "code_hash": pd.array([h for _, h in seen], dtype="Int64")}
             )
 
     return files.mapInPandas(look, f"file_id {kind}, project string, path string, shown array<string>, named array<string>, code_hash bigint")

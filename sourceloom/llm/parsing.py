@@ -111,7 +111,7 @@ def parse_check(df: DataFrame, id_col: str = "file_id", path_col: str = "path",
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             reasons = [verdict(lang, text) for lang, text in zip(pdf["language"], pdf["range_text"])]
-            yield pd.DataFrame({"id": pdf["id"], "checked_as": pdf["language"], "parses": [r is None for r in reasons], "reason": reasons})
+            yield pd.DataFrame({"id": pdf["id"], "checked_as": pdf["language"].tolist(), "parses": [r is None for r in reasons], "reason": reasons})
 
     schema = f"id {kind}, checked_as string, parses boolean, reason string"
     out = single.select("id", "language", "range_text").mapInPandas(whole, schema)

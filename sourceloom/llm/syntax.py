@@ -23,7 +23,7 @@ _OPERAND_WORDS = set("this super null true false nil self Self crate".split())
 _JS_STARTERS = set("break case catch class const continue debugger default do else export finally for function if import return switch throw try var while with let async static get set await yield delete typeof void new extends of in instanceof as from".split())
 _TS_STARTERS = set("type interface enum namespace module declare abstract readonly public private protected override accessor is keyof infer unique asserts satisfies implements out global require".split())
 _GO_WORDS = set("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
-_RUST_WORDS = set("as async await box break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct trait type union unsafe use where while yield macro_rules auto default safe raw".split())
+_RUST_WORDS = set("as async await box break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct trait type unsafe use where while yield".split())
 _JAVA_WORDS = set("abstract assert break case catch class const continue default do else enum extends final finally for goto if implements import instanceof interface native new package private protected public return static strictfp super switch synchronized throw throws transient try volatile while record sealed non permits var yield when".split())
 _JAVA_TYPES = set("boolean byte char double float int long short void".split())
 _STATEMENT_WORDS = {
@@ -116,7 +116,7 @@ def _script(language: str, code, text: str) -> None:
         if start or p[1] in (";", "{") and p[0] == OP and frame.kind in ("block", "class"):
             frame.head = token
             frame.ternary = 0 if p is not None and p[1] in (";", "{") else frame.ternary
-        elif newline and frame.kind in ("block", "class") and (_ends_operand(language, p) or p[1] == "}"):
+        elif newline and frame.kind in ("block", "class") and (_ends_operand(language, p) or p[1] in ("}", "break", "continue", "return", "debugger", "++", "--")):
             frame.head = token
         frame.first = frame.first or token
         operand_before = p is not None and not (start and frame.opener) and _ends_operand(language, p)
@@ -133,7 +133,7 @@ def _script(language: str, code, text: str) -> None:
                 declared = p[0] == ID and p[1] in ("type", "declare", "abstract", "global")
                 if not closes_head and not infix and not declared:
                     raise Bad(f"{word} after {p[1]}")
-            if word in ("return",) and not any(f.function for f in frames):
+            if word == "return" and not any(f.function or typed and f.opener == "{" for f in frames):
                 raise Bad("return outside functions")
             if word == "import" and frame.kind == "block" and len(frames) == 1 and not newline and operand_before and p[1] != "}":
                 raise Bad("import")
@@ -146,7 +146,7 @@ def _script(language: str, code, text: str) -> None:
                 good = {"{", "*", "default", "class", "function", "async", "const", "let", "var", "@"} | ({"type", "interface", "enum", "declare", "abstract", "namespace", "module", "import", "="} if typed else set())
                 if nxt[1] not in good:
                     raise Bad("export of what")
-            if word in ("const", "let", "var") and not key and not (word == "let" and (nxt[0] == OP and nxt[1] not in ("{", "["))):
+            if word in ("const", "let", "var") and not key and not (typed and p and p[1] in ("as", "satisfies", "<", ",")) and not (word == "let" and (nxt[0] == OP and nxt[1] not in ("{", "["))):
                 if not (nxt[0] == ID and (nxt[1] not in _JS_RESERVED or nxt[1] in ("let", "static", "await", "yield")) or nxt[1] in ("{", "[") or typed and nxt[1] == "enum"):
                     raise Bad(f"{word} of what")
                 if word == "const" and nxt[0] == ID and nxt[1] != "enum":
@@ -180,7 +180,7 @@ def _script(language: str, code, text: str) -> None:
                     continue
                 if member and kind != ID:
                     raise Bad(f"{word} after a dot")
-                if operand_before:
+                if operand_before and not (kind == STR and word.startswith("`")):
                     loose = newline and frame.kind in ("block", "class")
                     if p[0] == OP and p[1] == "}":
                         opened = pairs[k - 1]
@@ -197,11 +197,9 @@ def _script(language: str, code, text: str) -> None:
                     elif p[0] == STR and p[1].startswith("`") is False and kind == STR and p[1].endswith("}"):
                         pass
                     elif not loose:
-                        contextual = p[0] == ID and (p[1] in ("get", "set", "async", "static", "accessor") or typed and p[1] in _TS_STARTERS)
+                        contextual = p[0] == ID and (p[1] in ("get", "set", "async", "static", "accessor") or typed and (p[1] in _TS_STARTERS or p[1] == "using"))
                         if not contextual and not (typed and frame.kind == "object" and newline) and not (typed and word in ("is",)):
                             raise Bad(f"{word} after {p[1]}")
-            if kind == STR and word.startswith("`") and operand_before:
-                pass
             continue
         # operators and brackets
         if word in OPENERS:
@@ -228,6 +226,8 @@ def _script(language: str, code, text: str) -> None:
                     kind_of = "object"
                 elif p[0] == OP and p[1] == ":":
                     kind_of = "object" if frame.kind in ("object", "paren", "array") or not (frame.head and frame.head[1] in ("case", "default")) else "block"
+                elif p[0] in (ID, OP) and _class_head(code, k, language):
+                    kind_of = "class"
                 elif p[0] == ID and p[1] in ("return", "throw", "typeof", "yield", "in", "of", "as", "await", "new", "export", "import", "const", "let", "var", "default", "type"):
                     kind_of = "object"
                 elif p[1] == ")" and p[0] == OP:
@@ -235,8 +235,6 @@ def _script(language: str, code, text: str) -> None:
                     head = code[opened - 1] if opened else PAST_TOKEN
                     kind_of = "block"
                     function = not (head[0] == ID and head[1] in heads)
-                elif p[0] in (ID, OP) and _class_head(code, k, language):
-                    kind_of = "class"
                 elif p[0] == ID and p[1] in ("else", "do", "try", "finally", "catch", "static"):
                     kind_of = "block"
                 elif typed and _returns_type(code, k, pairs):
@@ -251,9 +249,9 @@ def _script(language: str, code, text: str) -> None:
             continue
         if word in CLOSERS:
             if p is not None and p[0] == OP and p[1] not in CLOSERS and p[1] not in OPENERS and p[1] not in (";", ",", "++", "--"):
-                if not (typed and p[1] in (">", "!", "?", "*", ">>") or p[1] == "*" and frame.kind == "object" or p[1] == ":" and frame.kind in ("block",)):
+                if not (typed and p[1] in (">", "!", "?", "*", ">>", ">>>") or p[1] == "*" and frame.kind == "object" or p[1] == ":" and frame.kind in ("block",)):
                     raise Bad(f"{word} after {p[1]}")
-            if p is not None and word != "}" and p[0] == ID and p[1] in ("return", "throw", "const", "let", "var", "typeof", "new", "delete", "in", "instanceof", "of") and not (len(code) > 1 and k > 1 and code[k - 2][1] in (".", "?.")):
+            if p is not None and word != "}" and p[0] == ID and p[1] in ("return", "throw", "const", "let", "var", "typeof", "new", "delete", "in", "instanceof", "of") and not (len(code) > 1 and k > 1 and code[k - 2][1] in (".", "?.", "as")):
                 raise Bad(f"{word} after {p[1]}")
             frames.pop()
             previous = token
@@ -263,14 +261,14 @@ def _script(language: str, code, text: str) -> None:
                 raise Bad("; inside brackets")
             if frame.kind == "paren" and not (frame.before and frame.before[1] in ("for", "await")) and not typed:
                 raise Bad("; inside parentheses")
-            if p is not None and p[0] == OP and p[1] not in CLOSERS and p[1] not in (";", "{", "++", "--") and not (typed and p[1] in (">", "!", "*", ">>")) and not (p[1] == "("):
+            if p is not None and p[0] == OP and p[1] not in CLOSERS and p[1] not in (";", "{", "++", "--") and not (typed and p[1] in (">", "!", "*", ">>", ">>>", "?")) and not (p[1] == "("):
                 raise Bad(f"; after {p[1]}")
-            if p is not None and p[0] == ID and p[1] in ("const", "let", "var", "throw", "new", "typeof", "in", "instanceof", "import", "export", "function", "class", "delete") and not (k > 1 and code[k - 2][1] in (".", "?.")):
+            if p is not None and p[0] == ID and p[1] in ("const", "let", "var", "throw", "new", "typeof", "in", "instanceof", "import", "export", "function", "class", "delete") and not (k > 1 and code[k - 2][1] in (".", "?.", "as")):
                 raise Bad(f"; after {p[1]}")
             frame.ternary = 0
             continue
         if word == ",":
-            if p is None or p[0] == OP and p[1] not in CLOSERS and not (p[1] in (",", "[") and frame.opener == "[") and not (p[1] in ("++", "--") or typed and p[1] in (">", "!", "?", ">>", "*")):
+            if p is None or p[0] == OP and p[1] not in CLOSERS and not (p[1] in (",", "[") and frame.opener == "[") and not (p[1] in ("++", "--") or typed and p[1] in (">", "!", "?", ">>", ">>>", "*")):
                 raise Bad(", after nothing")
             continue
         if word == ":":
@@ -280,7 +278,7 @@ def _script(language: str, code, text: str) -> None:
                 frame.ternary -= 1
             elif not typed and not ok and not label:
                 raise Bad("a colon")
-            if p is None or p[0] == OP and p[1] not in CLOSERS and not (typed and p[1] in ("?", "!", ">")):
+            if p is None or p[0] == OP and p[1] not in CLOSERS and p[1] not in ("++", "--") and not (typed and p[1] in ("?", "!", ">", ">>", ">>>")):
                 raise Bad(f": after {p and p[1]}")
             continue
         if word == "?":
@@ -300,11 +298,13 @@ def _script(language: str, code, text: str) -> None:
             if typed and word in ("|", "&") and p is not None and p[0] == OP and p[1] in ("=", ":", "(", "<", "|", "=>", ",", "["):
                 if p[1] != "|":
                     continue
-            if typed and (word in ("<", ">", ">>", ">>>", "=") and p is not None and (p[0] == ID or p[1] in (">", "(", ",", "=", ":", "]", ")", "}", "|", "?", "!", "new"))):
+            if typed and (word in ("<", ">", ">>", ">>>", "=") and p is not None and (p[0] == ID or p[1] in (">", ">>", ">>>", "(", ",", "=", ":", "]", ")", "}", "|", "?", "!", "new"))):
                 if not (word in (">>", ">>>") and p[1] in (">>", ">>>")):
                     if not (word == "=" and p[0] == OP and p[1] in ("=",)):
                         if not (p[1] == "}" and word in ("<", ">", ">>") and newline):
                             continue
+            if word == ">>>" and p is not None and p[1] == ">>>":
+                raise Bad(">>> twice")
             if word == "." and p is not None and p[0] == ID and p[1] in ("import", "new"):
                 continue
             if p is None or start and frame.opener:
@@ -316,14 +316,14 @@ def _script(language: str, code, text: str) -> None:
             if p[0] == OP and p[1] in ("++", "--"):
                 continue
             if not (_ends_operand(language, p) or p[0] == ID) or _is_word(language, p) and p[1] in ("return", "typeof", "const", "let", "var", "case", "new", "throw", "in", "of", "instanceof") and not (k > 1 and code[k - 2][1] in (".", "?.")):
-                if not (typed and p[1] in (">", "!", ">>")):
+                if not (typed and p[1] in (">", "!", ">>", ">>>")):
                     raise Bad(f"{word} after {p[1]}")
             if p[1] == "}" and p[0] == OP and word in ("<<", ">>", ">>>", "===", "==", "/", "%", "**", "<", ">") and newline:
                 raise Bad(f"{word} after }}")
             continue
     if previous is not None:
         kind, word, _ = previous
-        if kind == OP and word not in CLOSERS and word not in (";", "++", "--") and not (typed and word in (">", ">>", "!")):
+        if kind == OP and word not in CLOSERS and word not in (";", "++", "--") and not (typed and word in (">", ">>", ">>>", "!")):
             raise Bad(f"the file ends after {word}")
         if kind == ID and word in ("const", "let", "var", "function", "class", "import", "export", "new", "typeof", "in", "instanceof", "throw", "case", "if", "for", "while", "else", "try", "async", "extends", "interface", "enum"):
             if not (n > 1 and code[-2][1] in (".", "?.")):
@@ -437,7 +437,7 @@ def _go(language: str, code, text: str) -> None:
                 raise Bad(f"{word} after {p[1]}")
             if word == "func" and not (nxt[0] == ID and nxt[1] not in _GO_WORDS or nxt[1] == "("):
                 raise Bad("func of what")
-            if word in ("type", "var", "const") and not (nxt[0] == ID or nxt[1] == "("):
+            if word in ("type", "var", "const") and not (nxt[0] == ID or nxt[1] == "(" or word == "type" and p and p[1] == "("):
                 raise Bad(f"{word} of what")
             if word in ("if", "switch", "for", "select", "else") and k + 1 >= n:
                 raise Bad(f"the file ends after {word}")
@@ -465,7 +465,7 @@ def _go(language: str, code, text: str) -> None:
             elif word in CLOSERS:
                 if p and p[0] == OP and p[1] not in CLOSERS and p[1] not in OPENERS and p[1] not in (";", ",", "++", "--", ":", "..."):
                     raise Bad(f"{word} after {p[1]}")
-                if p and p[0] == ID and p[1] in ("var", "const", "func", "type", "if", "for", "range", "case", "defer", "go", "else", "import"):
+                if p and p[0] == ID and p[1] in ("var", "const", "func", "type", "if", "for", "range", "case", "defer", "go", "else", "import") and not (p[1] == "type" and k > 1 and code[k - 2][1] == "("):
                     raise Bad(f"{word} after {p[1]}")
                 stack.pop()
             elif word in (";",):
@@ -487,6 +487,8 @@ def _go(language: str, code, text: str) -> None:
     if p[0] == OP and p[1] not in CLOSERS and p[1] not in (";", "++", "--") or p[0] == ID and p[1] in _GO_WORDS:
         raise Bad(f"the file ends after {p[1]}")
     for k, (kind, word, _) in enumerate(code):
+        if kind == ID and word == "type" and k and code[k - 1][1] == "(":
+            continue
         if kind == ID and word == "func" and k + 1 < n and code[k + 1][0] == ID:
             if k + 2 >= n or code[k + 2][1] not in ("(", "["):
                 raise Bad("func without parameters")
@@ -512,10 +514,12 @@ def _rust(language: str, code, text: str) -> None:
     n = len(code)
     stack: list[str] = []
     skip = -1
+    loose = bytearray(n)
     p = None
     for k, token in enumerate(code):
         kind, word, at = token
         if k <= skip:
+            loose[k] = 1
             if kind == OP and word in OPENERS:
                 stack.append("{")
             elif kind == OP and word in CLOSERS:
@@ -532,7 +536,7 @@ def _rust(language: str, code, text: str) -> None:
         if kind == NUM and re.match(r"\d+[A-Za-z_]", word) and not re.fullmatch(r"(?:0[xbo][0-9a-fA-F_]+|[0-9][0-9_]*(?:\.[0-9_]*)?(?:[eE][+-]?[0-9_]+)?)_*(?:[iuf](?:8|16|32|64|128|size))?", word):
             raise Bad(f"number {word}")
         if kind == ID and word in _RUST_WORDS and word not in _OPERAND_WORDS and not (p is not None and p[1] in (".", "::")):
-            if operand and word in _STATEMENT_WORDS["rust"] and not (p[1] == ")" or p[1] == "]" and code[pairs[k - 1] - 1][1] in ("#", "!")):
+            if operand and word in _STATEMENT_WORDS["rust"] and not (p[0] == STR and k > 1 and code[k - 2][1] == "extern") and not (p[1] == ")" or p[1] == "]" and code[pairs[k - 1] - 1][1] in ("#", "!")):
                 if not (word in ("const", "pub", "fn") and p[1] in (")", ">")) and word not in ("type", "const", "static"):
                     raise Bad(f"{word} after {p[1]}")
             if operand and p[1] == ")" and word in ("let", "return", "while", "loop", "struct", "enum", "impl", "trait", "use", "mod"):
@@ -545,7 +549,7 @@ def _rust(language: str, code, text: str) -> None:
                 raise Bad(f"{word} without a name")
             if word == "let" and not (nxt[0] in (ID, NUM, STR) or nxt[1] in ("(", "[", "&", "-", "_")):
                 raise Bad("let of what")
-            if word in ("let",) and nxt[0] == ID and nxt[1] in _RUST_WORDS and nxt[1] not in ("mut", "ref", "box"):
+            if word in ("let",) and nxt[0] == ID and nxt[1] in _RUST_WORDS - {"mut", "ref", "box", "crate"}:
                 raise Bad("let of what")
             if word == "use" and not (nxt[0] == ID or nxt[1] in ("::", "{", "*", "<")):
                 raise Bad("use of what")
@@ -555,7 +559,7 @@ def _rust(language: str, code, text: str) -> None:
             continue
         if kind in (ID, NUM, STR) and operand:
             attribute = p[1] == "]" and pairs.get(k - 1) and code[pairs[k - 1] - 1][1] in ("#", "!")
-            lifetime = p[1].startswith("'") and p[0] == ID
+            lifetime = p[1].startswith("'") and p[0] == ID or p[1] == "crate" and k > 1 and code[k - 2][1] == "extern"
             if not attribute and not lifetime and not (p[1] == ")" and pairs.get(k - 1) and code[pairs[k - 1] - 1][1] in ("pub",)) and not (p[1] in ("union", "macro_rules", "auto", "default", "raw", "safe")):
                 raise Bad(f"{word} after {p[1]}")
         if kind in (NUM,) and p is not None and p[1] == "}" and stack and False:
@@ -589,7 +593,7 @@ def _rust(language: str, code, text: str) -> None:
                 good = p is not None and (_ends_operand(language, p) or p[0] == OP and p[1] in ("}", "?", ">", ">>", "*", ".."))
                 if word == "=>":
                     good = good or p is not None and p[1] in ("|",)
-                if word in ("+", "?") and p is not None and (p[1] in (":", "<", "'") or p[0] == ID):
+                if word == "?" and (nxt[0] == ID and nxt[1][0].isupper()) or word in ("+", "?") and p is not None and (p[1] in (":", "<", "'") or p[0] == ID):
                     good = True
                 if word == "." and p is not None and p[0] == ID:
                     good = True
@@ -608,6 +612,8 @@ def _rust(language: str, code, text: str) -> None:
     if p[0] == OP and p[1] not in CLOSERS and p[1] != ";" or p[0] == ID and p[1] in _RUST_WORDS or p[0] != OP:
         raise Bad(f"the file ends after {p[1]}")
     for k, (kind, word, _) in enumerate(code):
+        if loose[k]:
+            continue
         if kind == ID and word == "fn" and k + 1 < n and code[k + 1][0] == ID:
             if k + 2 >= n or code[k + 2][1] not in ("(", "<"):
                 raise Bad("fn without parameters")
