@@ -24,6 +24,10 @@ HOLE = "/"
 #: fewer than so many hot keys, which bounds what is broadcast.
 HOT_ONE_IN = 2000
 
+#: Distinct (project, length, mask) rows up to which they are broadcast; there
+#: are a few per project, whatever the number of routes.
+MASK_ROWS = 100_000
+
 #: Rows of the hot side up to which it is broadcast; beyond, it is shuffled.
 HOT_ROWS = 20_000
 
@@ -78,6 +82,7 @@ def matching_periods(keys: DataFrame, periods: DataFrame) -> DataFrame:
     mask = F.transform("segments", lambda s: s == HOLE)
     shaped = periods.withColumn("n", F.size("segments")).withColumn("mask", mask)
     masks = shaped.select("project", "n", "mask").distinct()
+    masks = F.broadcast(masks) if under(masks, MASK_ROWS) else masks
     tried = (
         keys.withColumn("n", F.size("segments"))
         .join(masks, ["project", "n"])
