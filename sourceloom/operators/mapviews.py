@@ -1,7 +1,8 @@
-"""Text views of scans and analyses, one row of text per project.
+"""Text views of scans and analyses.
 
-A view is text that one reader takes in at once, so that the lines of one
-project are gathered into one row; ordering keys come from the tables.
+Views come in pieces, a row per file, module or object, whatever the size of a
+project. The functions that give one row of text per project are for a single
+reader, as on the command line; queries over many projects use the pieces.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ def _joined(rows: DataFrame, keys: list[str], order: list[str], text: str, out:
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__t")))), lambda s: s["__t"]), "\n").alias(out))
 
 
-def _details(files: DataFrame, symbols: DataFrame, imports: DataFrame, mark: str, max_depth: int) -> DataFrame:
+def file_details(files: DataFrame, symbols: DataFrame, imports: DataFrame, mark: str = "##", max_depth: int = 2) -> DataFrame:
     """(project, path, detail): a file's heading, imports and symbols."""
     keys = ["project", "path"]
     named = F.when(F.size("names") > 0, F.concat(F.lit("  import "), F.col("module"), F.lit(" :: "), F.array_join("names", ", "))).otherwise(F.concat(F.lit("  import "), F.col("module")))
@@ -32,7 +33,7 @@ def _details(files: DataFrame, symbols: DataFrame, imports: DataFrame, mark: str
 
 def full_map(files: DataFrame, symbols: DataFrame, imports: DataFrame, max_depth: int = 2) -> DataFrame:
     """(project, text): every file with its imports and symbols."""
-    detail = _details(files, symbols, imports, "##", max_depth).withColumn("w", walk_key(F.col("path")))
+    detail = file_details(files, symbols, imports, "##", max_depth).withColumn("w", walk_key(F.col("path")))
     body = _joined(detail, ["project"], ["w"], "detail", "body")
     return body.select("project", F.concat_ws("\n", F.concat(F.lit("# Repo Map: "), F.col("project")), F.lit(""), "body").alias("text"))
 
@@ -40,17 +41,27 @@ def full_map(files: DataFrame, symbols: DataFrame, imports: DataFrame, max_depth
 def focused_map(files: DataFrame, symbols: DataFrame, imports: DataFrame, focus: DataFrame, max_depth: int = 2, show_others: bool = True) -> DataFrame:
     """(project, text): the files of focus (project, path) in detail, the others
     as one line each."""
+    pieces = focused_pieces(files, symbols, imports, focus, max_depth, show_others).withColumn("w", walk_key(F.col("path")))
+    titles = {1: "## Relevant files (detailed)", 2: "## Other files (summary)"}
+    section = _joined(pieces, ["project", "part"], ["w"], "t", "body")
+    title = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])[F.col("part")]
+    shown = section.withColumn("t", F.concat_ws("\n", title, F.lit(""), "body", F.when(F.col("part") == 2, "")))
+    body = _joined(shown, ["project"], ["part"], "t", "body")
+    return body.select("project", F.concat_ws("\n", F.concat(F.lit("# Repo Map: "), F.col("project")), F.lit(""), "body").alias("text"))
+
+
+def focused_pieces(files: DataFrame, symbols: DataFrame, imports: DataFrame, focus: DataFrame, max_depth: int = 2, show_others: bool = True) -> DataFrame:
+    """(project, part, path, t): the files of focus in detail (part 1) and the
+    others as a line each (part 2)."""
     keys = ["project", "path"]
     chosen = files.join(focus.select(*keys).distinct(), keys, "left_semi")
-    detail = _details(chosen, symbols.join(chosen.select(*keys), keys, "left_semi"), imports.join(chosen.select(*keys), keys, "left_semi"), "###", max_depth).withColumn("w", walk_key(F.col("path")))
-    first = _joined(detail, ["project"], ["w"], "detail", "body").select("project", F.lit(1).alias("part"), F.concat_ws("\n", F.lit("## Relevant files (detailed)"), F.lit(""), "body").alias("t"))
-    if show_others:
-        rest = file_summaries(files, symbols).join(chosen.select(*keys), keys, "left_anti").withColumn("w", walk_key(F.col("path")))
-        line = F.concat(F.lit("  "), F.col("path"), F.lit("  ("), F.col("lines"), F.lit(" lines, "), F.col("n_symbols"), F.lit(" symbols)"))
-        other = _joined(rest.withColumn("t", line), ["project"], ["w"], "t", "body").select("project", F.lit(2).alias("part"), F.concat_ws("\n", F.lit("## Other files (summary)"), F.lit(""), "body", F.lit("")).alias("t"))
-        first = first.unionByName(other)
-    body = _joined(first, ["project"], ["part"], "t", "body")
-    return body.select("project", F.concat_ws("\n", F.concat(F.lit("# Repo Map: "), F.col("project")), F.lit(""), "body").alias("text"))
+    detail = file_details(chosen, symbols.join(chosen.select(*keys), keys, "left_semi"), imports.join(chosen.select(*keys), keys, "left_semi"), "###", max_depth)
+    out = detail.select("project", F.lit(1).alias("part"), "path", F.col("detail").alias("t"))
+    if not show_others:
+        return out
+    rest = file_summaries(files, symbols).join(chosen.select(*keys), keys, "left_anti")
+    line = F.concat(F.lit("  "), F.col("path"), F.lit("  ("), F.col("lines"), F.lit(" lines, "), F.col("n_symbols"), F.lit(" symbols)"))
+    return out.unionByName(rest.select("project", F.lit(2).alias("part"), "path", line.alias("t")))
 
 
 def file_summaries(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -59,18 +70,23 @@ def file_summaries(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return files.join(counted, ["project", "path"], "left").select("project", "path", "language", "lines", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
 
 
-def map_json(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(project, json): the scan as nested records."""
+def file_json(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(project, path, json): the scan of a file as a nested record."""
     keys = ["project", "path"]
     leaf = F.struct("ord", "name", "kind", "line", "signature")
     children = symbols.where("parent_ord IS NOT NULL").groupBy(*keys, F.col("parent_ord").alias("ord")).agg(F.array_sort(F.collect_list(leaf)).alias("children"))
     top = symbols.where("parent_ord IS NULL").join(children, [*keys, "ord"], "left")
     nested = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "name", "kind", "line", "signature", "children"))).alias("symbols"))
     imported = imports.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "module", "names", "line"))).alias("imports"))
-    rows = files.join(nested, keys, "left").join(imported, keys, "left").withColumn("w", walk_key(F.col("path")))
-    return rows.groupBy("project").agg(
-        F.to_json(F.struct(F.first("project").alias("root"), F.transform(F.array_sort(F.collect_list(F.struct("w", F.struct("path", "language", "lines", "symbols", "imports").alias("f")))), lambda s: s["f"]).alias("files"))).alias("json")
-    )
+    rows = files.join(nested, keys, "left").join(imported, keys, "left")
+    return rows.select(*keys, F.to_json(F.struct("path", "language", "lines", "symbols", "imports")).alias("json"))
+
+
+def map_json(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(project, json): the scan as nested records."""
+    rows = file_json(files, symbols, imports).withColumn("w", walk_key(F.col("path")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "json"))), lambda s: s["json"]), ",")
+    return rows.groupBy("project").agg(F.concat(F.lit('{"root":'), F.regexp_extract(F.to_json(F.struct(F.first("project").alias("p"))), '(?s)^."p":(.*).$', 1), F.lit(',"files":['), listed, F.lit("]}")).alias("json"))
 
 
 def scan_totals(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -102,12 +118,16 @@ def module_key_files(files: DataFrame, symbols: DataFrame, top: int = 5, names:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("project", "module", "rank", "path", "n_symbols", "names")
 
 
-def modules_text(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(project, text) of the module structure."""
+def module_texts(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project, module, t): a module's counts and its key files."""
     head = module_rollup(files, symbols).select("project", "module", F.lit(0).alias("rank"), F.concat(F.lit("## "), F.col("module"), F.lit("/\n  files: "), F.col("n_files"), F.lit(", symbols: "), F.col("n_symbols"), F.lit(", lines: "), F.col("n_lines")).alias("t"))
     rows = head.unionByName(module_key_files(files, symbols).select("project", "module", "rank", F.concat(F.lit("  "), F.col("path"), F.lit(": "), F.array_join("names", ", ")).alias("t")))
-    rows = rows.unionByName(head.select("project", "module", F.lit(1 << 30).alias("rank"), F.lit("").alias("t")))
-    body = _joined(rows, ["project"], ["module", "rank"], "t", "body")
+    return _joined(rows, ["project", "module"], ["rank"], "t", "t")
+
+
+def modules_text(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project, text) of the module structure."""
+    body = _joined(module_texts(files, symbols).withColumn("t", F.concat("t", F.lit("\n"))), ["project"], ["module"], "t", "body")
     return body.select("project", F.concat_ws("\n", F.lit("# Module Structure"), F.lit(""), "body").alias("text"))
 
 
@@ -147,12 +167,17 @@ def _blocks(name: str) -> tuple[str, list[Column], bool]:
     raise ValueError(name)
 
 
+def object_texts(rows: DataFrame, name: str, keep: list[str]) -> DataFrame:
+    """The kept columns and ``t``, the text of each object of a table."""
+    _, blocks, gap = _blocks(name)
+    return rows.select(*keep, F.concat_ws("\n", *blocks, *([F.lit("")] if gap else [])).alias("t"))
+
+
 def render_objects(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
     """(project, text) of an object table; projects without objects have no
     row. order names the columns that order the objects."""
-    title, blocks, gap = _blocks(name)
-    shown = rows.withColumn("__text", F.concat_ws("\n", *blocks, *([F.lit("")] if gap else [])))
-    body = _joined(shown, ["project"], order, "__text", "body")
+    title, _, gap = _blocks(name)
+    body = _joined(object_texts(rows, name, ["project", *order]), ["project"], order, "t", "body")
     tail = [] if gap else [F.lit("")]
     return body.select("project", F.concat_ws("\n", F.lit(title), F.lit(""), "body", *tail).alias("text"))
 

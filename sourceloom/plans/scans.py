@@ -10,7 +10,7 @@ from sourceloom.extract.symbols import imports_of, scan_files, symbols_of
 from sourceloom.functions.text import lines
 from sourceloom.operators import spec
 from sourceloom.operators.freshness import unmentioned_dirs, unmentioned_models, unmentioned_routes
-from sourceloom.operators.mapviews import file_summaries, focused_map, full_map, map_json, module_key_files, module_rollup, modules_text, render_objects, scan_totals
+from sourceloom.operators.mapviews import file_details, file_json, file_summaries, focused_pieces, module_key_files, module_rollup, module_texts, object_texts, scan_totals
 from sourceloom.operators.traces import summarise
 from sourceloom.operators.verify import roll_up
 from sourceloom.plans.retrieval import _sql_lines
@@ -46,7 +46,7 @@ def module_top_files(spark, sf_dir):
 
 
 def modules_view(spark, sf_dir):
-    return modules_text(_scanned(spark, sf_dir), _symbols(spark, sf_dir))
+    return module_texts(_scanned(spark, sf_dir), _symbols(spark, sf_dir))
 
 
 def _focus(spark, sf_dir):
@@ -60,15 +60,15 @@ def focus_others(spark, sf_dir):
 
 
 def focused_view(spark, sf_dir):
-    return focused_map(_scanned(spark, sf_dir), _symbols(spark, sf_dir), _imports(spark, sf_dir), _focus(spark, sf_dir))
+    return focused_pieces(_scanned(spark, sf_dir), _symbols(spark, sf_dir), _imports(spark, sf_dir), _focus(spark, sf_dir))
 
 
 def map_view(spark, sf_dir):
-    return full_map(_scanned(spark, sf_dir), _symbols(spark, sf_dir), _imports(spark, sf_dir))
+    return file_details(_scanned(spark, sf_dir), _symbols(spark, sf_dir), _imports(spark, sf_dir))
 
 
 def map_records(spark, sf_dir):
-    return map_json(_scanned(spark, sf_dir), _symbols(spark, sf_dir), _imports(spark, sf_dir))
+    return file_json(_scanned(spark, sf_dir), _symbols(spark, sf_dir), _imports(spark, sf_dir))
 
 
 def scan_counts(spark, sf_dir):
@@ -175,11 +175,11 @@ def path_alignment(spark, sf_dir):
 
 
 def render_routes(spark, sf_dir):
-    return render_objects(table(spark, sf_dir, "routes").distinct(), "routes", ["file", "line", "route_id"])
+    return object_texts(table(spark, sf_dir, "routes").distinct(), "routes", ["project", "route_id"])
 
 
 def render_env(spark, sf_dir):
-    return render_objects(table(spark, sf_dir, "env_vars").distinct(), "env_vars", ["env_id"])
+    return object_texts(table(spark, sf_dir, "env_vars").distinct(), "env_vars", ["project", "env_id"])
 
 
 def trace_summary(spark, sf_dir):
@@ -308,6 +308,15 @@ SELECT evidence_id, ord, trim(regexp_extract(t, '^([^=]*)=', 1)) AS name, trim(r
     "model_freshness": f"WITH {_CONTEXT_SQL}, {_LIVE_SQL} SELECT project, name FROM (SELECT DISTINCT project, name FROM symbols WHERE kind = 'class') r JOIN lv USING (project) WHERE NOT contains(doc, name)",
     "path_alignment": r"""WITH r AS (SELECT DISTINCT project, regexp_replace(path, '\{[^}]+\}', '{}', 'g') AS alike FROM routes)
 SELECT DISTINCT project, path FROM api_calls c WHERE path IS NOT NULL AND NOT starts_with(path, 'http') AND NOT EXISTS (SELECT 1 FROM r WHERE r.project = c.project AND r.alike = regexp_replace(c.path, '\{[^}]+\}', '{}', 'g'))""",
+    "modules_view": f"""WITH {_SCAN_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY project, module ORDER BY n_symbols DESC,
+  list_transform(string_split(path, '/'), lambda s, i: {{'d': (i < len(string_split(path, '/')))::INT, 'n': s}})) AS rank FROM fs WHERE names IS NOT NULL),
+t AS (SELECT project, module, 0 AS rank, '## ' || module || '/' || chr(10) || '  files: ' || count(*) || ', symbols: ' || sum(n_symbols)::BIGINT || ', lines: ' || sum(lines)::BIGINT AS t FROM fs GROUP BY 1, 2
+  UNION ALL SELECT project, module, rank, '  ' || path || ': ' || array_to_string(names[1:3], ', ') FROM r WHERE rank <= 5)
+SELECT project, module, string_agg(t, chr(10) ORDER BY rank) AS t FROM t WHERE t IS NOT NULL GROUP BY 1, 2""",
+    "render_routes": """SELECT DISTINCT project, route_id, '## ' || method || ' ' || path || chr(10) || '  file: ' || file || '  L' || line || chr(10)
+  || CASE WHEN function_name <> '' THEN '  handler: ' || function_name || chr(10) ELSE '' END || CASE WHEN len(params) > 0 THEN '  params:' || chr(10) || '    ' || array_to_string(params, chr(10) || '    ') || chr(10) ELSE '' END AS t FROM routes""",
+    "render_env_vars": """SELECT DISTINCT project, env_id, '  ' || name || CASE WHEN default_value <> '' THEN ' = ' || default_value ELSE '' END || CASE WHEN description <> '' THEN chr(10) || '    # ' || description ELSE '' END
+  || CASE WHEN source <> '' THEN chr(10) || '    source: ' || source ELSE '' END AS t FROM env_vars""",
     "trace_summary": """WITH r AS (SELECT event_type, event_id % 900 AS c, event_id % 2000 AS g, event_id % 5000 AS i, event_id % 3000 AS p, (event_id % 64) / 16.0::DOUBLE AS t FROM events)
 SELECT event_type, count(*) AS total_runs, sum(i)::BIGINT AS total_input_tokens, sum(p)::BIGINT AS total_packed_tokens, (sum(i) - sum(p))::BIGINT AS total_tokens_saved, round_even(coalesce(sum(c)::DOUBLE / nullif(sum(g), 0), 0), 3) AS avg_compression_ratio,
   round_even(sum(p)::DOUBLE / count(*), 0)::BIGINT AS avg_packed_tokens, round_even(sum(t) / count(*), 2) AS avg_time_s, round_even(sum(t), 2) AS total_time_s FROM r GROUP BY 1""",
