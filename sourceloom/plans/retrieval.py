@@ -114,7 +114,7 @@ COMPRESS_QUERY = "state ledger return warm secret"
 
 
 def _evidence(spark, sf_dir):
-    return spread(table(spark, sf_dir, "evidence").select("evidence_id", "uri", "content").distinct())
+    return spread(table(spark, sf_dir, "evidence").select("evidence_id", "uri", "content")).distinct()
 
 
 def line_relevance_scores(spark, sf_dir):

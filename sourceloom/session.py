@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Spreads rows over the cores when the scan gives fewer partitions than
     there are cores, as with one small file. Large inputs already come in many
-    splits and aren't shuffled."""
+    splits and aren't shuffled. For scans and what is narrow on them: asking a
+    plan with shuffles for its partitions would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
@@ -28,6 +29,8 @@ def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sourceloom-checkpoint-"))
     return df.checkpoint()
 
