@@ -90,23 +90,24 @@ def _boundaries(language: str, text: str, state, depth: int) -> list[int]:
 
 
 def parse_check(df: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "content", range_chars: int = RANGE_CHARS) -> DataFrame:
-    """One row per distinct file in a checked language: its id, ``checked_as``,
-    ``parses`` and ``reason`` (null where it parses).
+    """One row per file in a checked language: its id, ``checked_as``,
+    ``parses`` and ``reason`` (null where it parses). Contents aren't shuffled,
+    save those of several ranges.
 
     The language is that of the path's extension; other files and null contents
-    give no row. An empty file, or one with comments only, parses. Several
-    different contents under one id give one row each. Repeated rows count
-    once, other columns are ignored, an empty table gives an empty result.
+    give no row. An empty file, or one with comments only, parses. Different
+    contents under one id give a row per verdict. Repeated rows count once,
+    other columns are ignored, an empty table gives an empty result.
     Files of any length are read whole.
     """
     ending = F.lower(F.regexp_extract(F.col(path_col), r"\.([^./]+)$", 1))
     known = {k: v for k, v in LANGUAGE_OF.items() if k in ("py", "js", "ts", "go", "rs", "java")}
     named = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[ending]
-    files = df.select(F.col(id_col).alias("id"), named.alias("language"), F.col(text_col).alias("content")).where("language IS NOT NULL AND content IS NOT NULL").distinct()
+    files = df.select(F.col(id_col).alias("id"), named.alias("language"), F.col(text_col).alias("content")).where("language IS NOT NULL AND content IS NOT NULL")
     kind = files.schema["id"].dataType.simpleString()
     files = files.withColumn("file", F.xxhash64("id", "language", "content"))
     ranges = cut_ranges(spread(files), "content", range_chars)
-    single, several = ranges.where("n_ranges = 1"), ranges.where("n_ranges > 1")
+    single, several = ranges.where("n_ranges = 1"), ranges.where("n_ranges > 1").dropDuplicates(["file", "range_no"])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,7 +118,7 @@ def parse_check(df: DataFrame, id_col: str = "file_id", path_col: str = "path",
     out = single.select("id", "language", "range_text").mapInPandas(whole, schema)
     if not several.isEmpty():
         out = out.unionByName(_of_ranges(several, kind).select("id", "checked_as", "parses", "reason"))
-    return out.withColumnRenamed("id", id_col)
+    return out.distinct().withColumnRenamed("id", id_col)
 
 
 def _of_ranges(ranges: DataFrame, kind: str) -> DataFrame:
