@@ -165,9 +165,9 @@ def _join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: i
 
 
 def file_evidence(sources: DataFrame) -> DataFrame:
-    """Per distinct source file: ``file_id``, ``project``, ``path``, ``shown``
+    """Per source file, repeats dropped once the contents are gone: ``file_id``, ``project``, ``path``, ``shown``
     (by its content), ``named`` (by the conventions) and ``code_hash``."""
-    files = spread(sources.select("file_id", "project", "path", "content").where("path IS NOT NULL").distinct())
+    files = spread(sources.select("file_id", "project", "path", "content").where("path IS NOT NULL"))
     kind = files.schema["file_id"].dataType.simpleString()
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +177,7 @@ def file_evidence(sources: DataFrame) -> DataFrame:
                 {"file_id": pdf["file_id"], "project": pdf["project"].tolist(), "path": pdf["path"].tolist(), "shown": [s for s, _ in seen], "named": [path_evidence(p) for p in pdf["path"]], "code_hash": pd.array([h for _, h in seen], dtype="Int64")}
             )
 
-    return files.mapInPandas(look, f"file_id {kind}, project string, path string, shown array<string>, named array<string>, code_hash bigint")
+    return files.mapInPandas(look, f"file_id {kind}, project string, path string, shown array<string>, named array<string>, code_hash bigint").distinct()
 
 
 def declared_marks(sources: DataFrame) -> DataFrame:
