@@ -363,12 +363,13 @@ def redact(text: str, found: list[tuple[list[tuple[int, int]], str]]) -> str:
 def _values(df: DataFrame, src: str, id_col: str, text_col: str, name_col: str | None) -> DataFrame:
     name = F.col(name_col).cast("string") if name_col else F.lit(None).cast("string")
     kept = df.select(F.lit(src).alias("src"), F.col(id_col).cast("bigint").alias("row_id"), name.alias("name"), F.lit(bool(name_col)).alias("named"), F.col(text_col).cast("string").alias("text"))
-    return kept.where(F.col("text").isNotNull() & (F.length("text") > 0)).distinct()
+    return kept.where(F.col("text").isNotNull() & (F.length("text") > 0))
 
 
 def credentials(df: DataFrame, src: str, id_col: str, text_col: str, name_col: str | None = None) -> DataFrame:
-    """One row per credential: ``src``, ``row_id``, ``line_no``, ``how``,
-    ``n_chars`` of its value and its ``entropy``.
+    """One row per credential: ``src``, ``row_id``, ``line_no``,
+    ``start_offset``, ``how``, ``n_chars`` of its value and its ``entropy``.
+    Repeats are dropped from the result, so that texts needn't be shuffled.
 
     name_col names the variable whose value the whole text is. Null and empty
     texts hold none; a null name says nothing. Repeated rows count once, other
@@ -382,10 +383,10 @@ def credentials(df: DataFrame, src: str, id_col: str, text_col: str, name_col: s
             for r in pdf.itertuples():
                 for spans, how in find_credentials(r.text, (r.name or "") if r.named else None):
                     value = "".join(r.text[a:b] for a, b in spans)
-                    rows.append([r.src, r.row_id, 1 if r.named else credential_line(r.text, spans, how), how.split("@")[0], len(value), entropy(value)])
-            yield pd.DataFrame(rows, columns=["src", "row_id", "line_no", "how", "n_chars", "entropy"])
+                    rows.append([r.src, r.row_id, 1 if r.named else credential_line(r.text, spans, how), spans[0][0], how.split("@")[0], len(value), entropy(value)])
+            yield pd.DataFrame(rows, columns=["src", "row_id", "line_no", "start_offset", "how", "n_chars", "entropy"])
 
-    return spread(_values(df, src, id_col, text_col, name_col)).mapInPandas(search, "src string, row_id bigint, line_no int, how string, n_chars int, entropy double")
+    return spread(_values(df, src, id_col, text_col, name_col)).mapInPandas(search, "src string, row_id bigint, line_no int, start_offset int, how string, n_chars int, entropy double").distinct()
 
 
 def redacted(df: DataFrame, src: str, id_col: str, text_col: str, name_col: str | None = None) -> DataFrame:
@@ -401,4 +402,4 @@ def redacted(df: DataFrame, src: str, id_col: str, text_col: str, name_col: str
                     rows.append([r.src, r.row_id, len(found), redact(r.text, found)])
             yield pd.DataFrame(rows, columns=["src", "row_id", "n_credentials", "redacted"])
 
-    return spread(_values(df, src, id_col, text_col, name_col)).mapInPandas(clean, "src string, row_id bigint, n_credentials int, redacted string")
+    return spread(_values(df, src, id_col, text_col, name_col)).mapInPandas(clean, "src string, row_id bigint, n_credentials int, redacted string").distinct()
