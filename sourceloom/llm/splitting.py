@@ -100,9 +100,10 @@ def oversized(df: DataFrame, text_col: str, max_lines: int = MAX_LINES, max_char
 
 
 def _items(df: DataFrame, id_col: str, uri_col: str, text_col: str, start_col: str, max_lines: int, max_chars: int) -> DataFrame:
-    """Distinct oversized items with a key of their own."""
+    """Oversized items with a key of their own; repeats are dropped later, so
+    that contents needn't be shuffled."""
     chosen = df.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.col(start_col).cast("int").alias("start_line"), F.col(text_col).alias("content"))
-    return oversized(chosen.distinct(), "content", max_lines, max_chars).withColumn("item", F.xxhash64("id", "uri", "start_line", "content"))
+    return oversized(chosen, "content", max_lines, max_chars).withColumn("item", F.xxhash64("id", "uri", "start_line", "content"))
 
 
 def _unit_table(ranges: DataFrame) -> DataFrame:
@@ -217,7 +218,7 @@ def unit_boundaries(
             yield pd.DataFrame(rows, columns=["id", "line_no"])
 
     out = ranges.where("n_ranges = 1").mapInPandas(whole, schema)
-    several = ranges.where("n_ranges > 1")
+    several = ranges.where("n_ranges > 1").dropDuplicates(["item", "range_no"])
     if not several.isEmpty():
 
         def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,7 +258,7 @@ def split_items(
             yield pd.DataFrame(rows, columns=columns)
 
     out = ranges.where("n_ranges = 1").mapInPandas(whole, schema)
-    several = ranges.where("n_ranges > 1")
+    several = ranges.where("n_ranges > 1").dropDuplicates(["item", "range_no"])
     if not several.isEmpty():
 
         def planned(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -276,4 +277,4 @@ def split_items(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", "share"))), lambda s: s["share"]), "").alias("piece"),
         )
         out = out.unionByName(cut.select(*columns))
-    return out.withColumnRenamed("id", id_col)
+    return out.distinct().withColumnRenamed("id", id_col)
