@@ -16,7 +16,7 @@ log = logging.getLogger(__name__)
 #: Extensions and directories of the analysis scan, and its size
 #: limit in bytes.
 ANALYSIS_EXTENSIONS = (".py", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs", ".java", ".kt", ".dart", ".vue", ".svelte")
-ANALYSIS_IGNORED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".nuxt", "target", ".egce", ".tox", ".mypy_cache", ".pytest_cache")
+ANALYSIS_IGNORED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".nuxt", "target", ".sourceloom", ".tox", ".mypy_cache", ".pytest_cache")
 ANALYSIS_BYTES = 256_000
 
 #: Marker files of languages, by precedence.
