@@ -80,8 +80,10 @@ _DATA_URI = re.compile(r"data:[\w.+-]+/[\w.+-]+(?:;[\w=.-]+)*;base64,[A-Za-z0-9+
 _DIGEST = re.compile(r"\b(?:sha(?:1|224|256|384|512)|md5|blake2b?)[-:=][A-Za-z0-9+/=_-]{16,}|\bssh-(?:rsa|ed25519|dss)[ \t]+[A-Za-z0-9+/=]{20,}", re.I)
 _TOKEN = re.compile(r"(?<![\w+/=.%-])[A-Za-z0-9_][A-Za-z0-9_+/.=-]{15,}[A-Za-z0-9_=](?![\w+/=.-])")
 _ISSUED = re.compile(r"^[A-Za-z]{2,8}(?:[_-][a-z]{2,8}){0,2}[_.-][A-Za-z0-9]{14,}$")
-_HINT_WORDS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "signature", "jwt", "bearer", "basic", "login", "passwd")
-_HINT = re.compile(r"(?<![a-z])(?:sig|pat)(?![a-z])|s[aeiou]*c[aeiou]*r[aeiou]*ts?(?![a-z])|c[aeiou]*r[aeiou]*d[aeiou]*nt|p[aeiou]*s+[aeiou]*wr?[aeiou]*d|p[aeiou]*s+[aeiou]*phr")
+_SITE = re.compile(r"""[=:>][ \t]*(?:[rbufRBUF]{1,2}|&)?(?="(?P<dq>(?:[^"\\\n]|\\.){8,})"|'(?P<sq>(?:[^'\\\n]|\\.){8,})'|`(?P<bq>[^`\n]{16,})`)""")
+_HINT_PARTS = tuple(w.encode() for w in "pass pwd secret token key cred auth jwt bearer basic signature xap xacce".split())
+_HINT_SKELETONS = re.compile("|".join("[aeiou]*".join(x) for x in sorted(_SKELETONS)).encode())
+_HINT_SHORT = re.compile("|".join(rf"(?<![A-Za-z]){w}(?![a-z])|{w.title()}(?![a-z])|(?<![A-Z]){w.upper()}(?![a-z])" for w in ("sig", "pat")))
 _BROKEN_UP = re.compile(r"""[=:(][ \t]*\\?\r?\n[ \t]*["']|["'][ \t]*\+[ \t]*["']""")
 _JWT = re.compile(r"^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}$")
 _ACCESS_ID = re.compile(r"^[A-Z]{4}[A-Z0-9]{12,20}$")
@@ -186,6 +188,20 @@ def _jumbled(value: str) -> bool:
     return n < 2.7 * parts or bool(runs) and n < 3.4 * parts or few and n >= 10
 
 
+def _may_tell(text: str) -> bool:
+    """Whether a name in a text may count as secret for name_says, or a value
+    with a scheme may occur: never False where one does. Signs that name_says
+    ignores inside names are left out first."""
+    plain = text.encode("ascii", "ignore").lower().translate(None, b"_.-")
+    return any(w in plain for w in _HINT_PARTS) or bool(_HINT_SHORT.search(text) or _HINT_SKELETONS.search(plain))
+
+
+def _may_assign(text: str) -> bool:
+    """Whether assignments and options in a text may hold a credential: by a
+    name, or by a quoted value that looks random without one."""
+    return _may_tell(text) or any(looks_random((m["dq"] or m["sq"] or m["bq"]).strip()) for m in _SITE.finditer(text))
+
+
 def find_credentials(text: str, name: str | None = None) -> list[tuple[list[tuple[int, int]], str]]:
     """Credentials in a text: the spans of each value, and how it was found.
 
@@ -255,7 +271,7 @@ def find_credentials(text: str, name: str | None = None) -> list[tuple[list[tupl
             take([(a, b)], how)
 
     low = text.lower()
-    hinted = any(w in low for w in _HINT_WORDS) or bool(_HINT.search(low))
+    tokens = [m.span() for m in _TOKEN.finditer(text) if not is_stand_in(m.group()) and looks_random(m.group()) and not _path_around(text, *m.span())]
     for m in _USERINFO.finditer(text) if "://" in text and "@" in text else ():
         value, a, b, _ = group(m)
         if free(a, b) and not is_stand_in(value) and len(value) >= 4 and (_jumbled(value) or not _WORDLIKE.match(value)):
@@ -264,14 +280,14 @@ def find_credentials(text: str, name: str | None = None) -> list[tuple[list[tupl
         value, a, b, _ = group(m)
         if free(a, b) and is_credential(value, "secret", False):
             take([(a, b)], "command")
-    for pattern in (_PARTS, _SAME_LINE_PARTS) if hinted and _BROKEN_UP.search(text) else ():
+    for pattern in (_PARTS, _SAME_LINE_PARTS) if _BROKEN_UP.search(text) else ():
         for m in pattern.finditer(text):
             spans = [p.span(1) for p in _PART.finditer(text, *m.span("parts"))]
             value = "".join(text[a:b] for a, b in spans)
             says = name_says(m.group("name"))
             if spans and all(free(a, b) for a, b in spans) and is_credential(value, says, True) and (says == "secret" or len(spans) > 1):
                 take(spans, "parts")
-    for pattern, how in ((_BELOW, "document"), (_ATTRIBUTES, "document"), (_PAIRED, "argument"), (_SETTER, "argument"), (_NETRC, "command"), (_PARAMETER, "address")) if hinted else ():
+    for pattern, how in ((_BELOW, "document"), (_ATTRIBUTES, "document"), (_PAIRED, "argument"), (_SETTER, "argument"), (_NETRC, "command"), (_PARAMETER, "address")):
         if pattern is _BELOW and "value:" not in text or pattern is _ATTRIBUTES and "value=" not in low or pattern is _NETRC and "login" not in text or pattern is _PARAMETER and "=" not in text:
             continue
         for m in pattern.finditer(text):
@@ -281,7 +297,7 @@ def find_credentials(text: str, name: str | None = None) -> list[tuple[list[tupl
             if pattern is _PAIRED and re.search(r"auth|api|key|token", given, re.I) and re.match(r"X-|Authorization", given, re.I):
                 says = "secret"
             consider(value, a, b, says, quoted or pattern in (_PARAMETER, _NETRC), how)
-    for m in _SCHEME.finditer(text) if hinted else ():
+    for m in _SCHEME.finditer(text) if any(w in text for w in ("Bearer", "Basic", "Token", "Digest")) else ():
         value, a, b, _ = group(m)
         value = value.rstrip("\\.,")
         b = a + len(value)
@@ -293,7 +309,8 @@ def find_credentials(text: str, name: str | None = None) -> list[tuple[list[tupl
             good = looks_random(value)
         if free(a, b) and good and not is_stand_in(value):
             take([(a, b)], "scheme")
-    for pattern in (_OPTION, _DOCKER, _ASSIGNED) if hinted else ():
+    # Public values matter only where something could be found without them.
+    for pattern in (_OPTION, _DOCKER, _ASSIGNED) if tokens or name is not None or _may_assign(text) else ():
         at = 0
         while True:
             m = pattern.search(text, at)
@@ -322,10 +339,8 @@ def find_credentials(text: str, name: str | None = None) -> list[tuple[list[tupl
             consider(value, a, b, says, True, "value")
             if says == "public":
                 take([(0, len(text))], None)
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        value = m.group()
-        if free(a, b) and not is_stand_in(value) and looks_random(value) and not _path_around(text, a, b):
+    for a, b in tokens:
+        if free(a, b):
             take([(a, b)], "token")
     return found
 

@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sourceloom.llm import secrets
 from sourceloom.llm.secrets import MARK, credential_line, credentials, entropy, find_credentials, redact, redacted
 
 KEY = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("MIIEow" + "aB3dE5gH7jK9" * 4 for _ in range(3)) + "\n-----END RSA PRIVATE KEY-----"
@@ -62,3 +63,27 @@ def test_tables(spark):
     long = spark.createDataFrame([(9, "x = 1\n" * 20000 + 'password = "tk7ZpQ91xw"')], "env_id bigint, default_value string")
     assert credentials(long, "e", "env_id", "default_value").first()["line_no"] == 20001
     assert entropy("") == 0 and entropy("ab") == 1
+
+
+UNHINTED = [
+    'githubPat = "k3j9slq0zpt7vb2nw5x8c1d4f6g0h2m7r9t3y5u8i1o4p6a2s7d9"', 'sasSig = "p0Lk9jMn8bVc"', "clientScrtValue = 'pitch-route-90'", 'my_to_ken = "p0Lk9jMn8bVc"', 'pssword = "p0Lk9jMn8bVc"', 'a = "AbC3dEf9Gh" + "Jk2LmN8pQr7"', 'a = (\n    "AbC3dEf9Gh"\n    "Jk2LmN8pQr7"\n)',
+    'a = "Ab$3dE!9Gh@k2Lm#8pQr7Zx"', 'f("a", "Ab$3dE!9Gh@k2Lm#8pQr7Zx")', "https://h.x/p?a=Ab$3dE!9Gh@k2Lm~8pQr7Zx", "X-Access-Id: k3J9sLq0ZpT7vB2n", "Digest Ab$3dE!9Gh@k2Lm#8pQr7Zx",
+]
+
+
+@pytest.mark.parametrize("line", UNHINTED)
+def test_found_without_hint_words(line):
+    assert len(find_credentials("before = 1\n" + line + "\nafter = 2")) == 1
+
+
+def same_ungated(text):
+    gated = find_credentials(text)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(secrets, "_may_assign", lambda text: True)
+        assert find_credentials(text) == gated
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*UNHINTED, "checksum", "sha", "Sig", "SIG", "pat", "Pat", "scrt", "sec", "ret", "_", "-", ".", "é", "K", "A", "x", " = ", ": ", '"', "'", "\n", "--", "Ab3dE9Ghk2Lm8pQr7ZxW5v", "p0Lk9jMn8bVc", "Bearer "]), max_size=12))
+def test_gate_changes_nothing(parts):
+    same_ungated("".join(parts))
