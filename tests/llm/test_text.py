@@ -44,3 +44,12 @@ def test_term_scores(spark):
     assert (r["tf"], r["df"], r["cf"]) == (2, 1, 2) and abs(r["score"] - want) < 1e-9
     assert r["score"] > got[(1, "tokens", "the")]["score"]
     assert term_scores(df.limit(0)).count() == 0
+
+
+def test_a_language_of_tables(spark):
+    """The verdict on a text doesn't depend on the others of its language."""
+    german = "Wenn der Speicher voll ist, wird die Datei nicht gelesen."
+    docs = [(k, TABLE.replace("1", str(k)), "en") for k in range(90)] + [(k, PROSE, "en") for k in range(100, 110)] + [(k, f"- der Posten\n- die Zahl {k}\n- der Rest\n", "de") for k in range(200, 209)] + [(300, german, "de"), (400, "| 的 | 1 |\n|---|---|\n", "zh")]
+    words = spark.createDataFrame(WORDS, "lang string, word string")
+    got = not_prose(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), words)
+    assert {r["doc_id"] for r in got.collect()} == {*range(90), *range(200, 209), 400} and "in_tail" in got.columns
