@@ -126,7 +126,8 @@ def _of_ranges(ranges: DataFrame, kind: str) -> DataFrame:
     key = ["file"]
 
     def end_state(row, state):
-        return lex(row["language"], row["range_text"], state, row["range_no"] == 0).state
+        lexed = lex(row["language"], row["range_text"], state, row["range_no"] == 0)
+        return lexed.state, not lexed.errors
 
     entries = entry_states(ranges, key, lambda row: ENTRY_STATES[row["language"]], end_state)
     known = ranges.join(entries, [*key, "range_no"])

@@ -6,7 +6,9 @@ text. What a range means depends on the state in which it begins (inside a
 comment, say). Each range is scanned from all likely states at once; the small
 results are joined in order per text, which tells the state in which each
 range really begins. A state that nobody tried is scanned in another pass over
-just that range. Texts of one range begin in a known state and skip all this.
+just that range. Where even the state of a text's start is unknown, as for a
+part of a file, the whole chain tells which one fits. Texts of one range need
+no chain.
 """
 
 from __future__ import annotations
@@ -65,12 +67,15 @@ def state_of(key: str):
     return tuples(json.loads(key))
 
 
-def entry_states(ranges: DataFrame, key: list[str], candidates: Callable, scan: Callable) -> DataFrame:
+def entry_states(ranges: DataFrame, key: list[str], candidates: Callable, scan: Callable, unsure: Callable = lambda row: False) -> DataFrame:
     """For ranges of texts of several ranges: the state in which each begins.
 
     candidates(row) lists the states to try, the first being that of a text's
-    start; scan(row, state) gives the state at the range's end. Gives key,
-    range_no and ``entry`` (a state as text). Only states travel, no text.
+    start; scan(row, state) gives the state at the range's end and whether the
+    range has no error. unsure(row) tells that the state of the text's start is
+    unknown: it is then the first candidate from which the text has no error
+    and ends in no state, else the first of all. Gives key, range_no and
+    ``entry`` (a state as text). Only states travel, no text.
     """
     kinds = ", ".join(f"`{c}` {ranges.schema[c].dataType.simpleString()}" for c in key)
 
@@ -79,25 +84,34 @@ def entry_states(ranges: DataFrame, key: list[str], candidates: Callable, scan:
             rows = []
             for row in pdf.to_dict("records"):
                 states = [state_of(row["wanted"])] if row.get("wanted") else candidates(row)
-                if row["range_no"] == 0 and not row.get("wanted"):
+                if row["range_no"] == 0 and not row.get("wanted") and not unsure(row):
                     states = states[:1]
-                for s in states:
-                    rows.append([row[c] for c in key] + [row["range_no"], state_key(s), state_key(scan(row, s))])
-            yield pd.DataFrame(rows, columns=[*key, "range_no", "entry", "exit"])
+                for rank, s in enumerate(states):
+                    end, fits = scan(row, s)
+                    rows.append([row[c] for c in key] + [row["range_no"], rank, state_key(s), state_key(end), fits])
+            yield pd.DataFrame(rows, columns=[*key, "range_no", "rank", "entry", "exit", "fits"])
 
-    schema = f"{kinds}, range_no int, entry string, exit string"
+    schema = f"{kinds}, range_no int, rank int, entry string, exit string, fits boolean"
     known = durable(ranges.mapInPandas(tried, schema))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        moves = {(r.range_no, r.entry): r.exit for r in pdf.itertuples()}
-        first = pdf[pdf.range_no == 0].entry.iloc[0]
+        moves = {(r.range_no, r.entry): (r.exit, r.fits) for r in pdf.itertuples()}
+        starts = pdf[pdf.range_no == 0].sort_values("rank").entry
         last = int(pdf.range_no.max())
-        out, state = [], first
-        for k in range(last + 1):
-            out.append([pdf[c].iloc[0] for c in key] + [k, state, (k, state) in moves])
-            if (k, state) not in moves:
+        plain = None
+        for first in starts:
+            out, state, good = [], first, True
+            for k in range(last + 1):
+                here = (k, state) in moves
+                out.append([pdf[c].iloc[0] for c in key] + [k, state, here])
+                if not here:
+                    break
+                state, fits = moves[(k, state)]
+                good = good and fits
+            if not out[-1][-1] or good and not state_of(state):
                 break
-            state = moves[(k, state)]
+            plain = plain or out
+            out = plain
         return pd.DataFrame(out, columns=[*key, "range_no", "entry", "known"])
 
     while True:

@@ -4,8 +4,10 @@ Long contents are cut into ranges at line ends; workers find the unit
 boundaries of each range, one line run above a range's first line being settled
 when the boundary tables of an item are stitched. Line lengths are summed up to
 offsets, and pieces are planned on the boundary table alone and then cut out by
-offset, each range giving its share. An item of one range takes the same steps
-in one worker.
+offset, each range giving its share. For an item of one range, that is one of
+at most RANGE_CHARS characters, one worker makes and stitches its table of one
+row. An item that begins in the midst of a file has an unknown state at its
+start, which its whole text settles, in one range or in several.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ MAX_LINES, MAX_CHARS = 60, 4000
 #: where a single line is cut.
 OVERLAP_LINES, OVERLAP_CHARS = 5, 200
 
+#: Columns of a boundary table that stitching reads.
+_ROW = ["lengths", "units", "blanks", "reach", "run", "whole"]
+
 
 def unit_kind(uri: str | None) -> str | None:
     """A language, "markdown", or None where no units are defined."""
@@ -39,13 +44,7 @@ def unit_kind(uri: str | None) -> str | None:
 def unit_lines(uri: str | None, text: str, window: bool = False) -> list[int]:
     """Lines (from 0) of a whole content at which a unit begins."""
     kind = unit_kind(uri)
-    if kind is None:
-        return []
-    if kind == "markdown":
-        return markdown_units(text)[0]
-    state, depth = window_entry(kind, text) if window else (None, 0)
-    units, _, _ = code_units(kind, text, state, depth, not window, window)
-    return [line for line, _ in units]
+    return _stitch([_whole_row(kind, text, window)])[1]
 
 
 def plan_pieces(lengths: list[int], units: list[int], blanks: set[int], max_lines: int, max_chars: int, overlap: int, overlap_chars: int):
@@ -106,6 +105,30 @@ def _items(df: DataFrame, id_col: str, uri_col: str, text_col: str, start_col: s
     return oversized(chosen, "content", max_lines, max_chars).withColumn("item", F.xxhash64("id", "uri", "start_line", "content"))
 
 
+def _in_midst(start_line) -> bool:
+    """Whether an item begins behind the first line of its file."""
+    return bool(pd.notna(start_line) and start_line > 1)
+
+
+def _range_row(kind: str | None, text: str, state, depth: int, first: bool, window: bool) -> tuple:
+    """The boundary table of one range: lengths of its lines, units and blanks
+    among them, and what it says of the lines above units (see code_units)."""
+    units, reach, run, whole = [], False, 0, False
+    if kind == "markdown":
+        units = markdown_units(text, state)[0]
+    elif kind:
+        found, run, whole = code_units(kind, text, state, depth, first and not window, window)
+        units, reach = [u for u, _ in found], any(x for _, x in found)
+    lines = _lines(text)
+    return [len(x) for x in lines], units, [k for k, x in enumerate(lines) if not x.strip()], reach, run, whole
+
+
+def _whole_row(kind: str | None, text: str, window: bool) -> tuple:
+    """The boundary table of an item of one range."""
+    state, depth = (MD_ENTRY[0], 0) if kind == "markdown" else window_entry(kind, text) if kind and window else (None, 0)
+    return _range_row(kind, text, state, depth, True, window)
+
+
 def _unit_table(ranges: DataFrame) -> DataFrame:
     """For items of several ranges: item, range_no, ``lengths`` of its lines
     and the ``units`` and ``blanks`` among them, lines counted in the range."""
@@ -117,10 +140,14 @@ def _unit_table(ranges: DataFrame) -> DataFrame:
     def end_state(row, state):
         kind = unit_kind(row["uri"])
         if kind == "markdown":
-            return markdown_units(row["range_text"], state)[1]
-        return lex(kind, row["range_text"], state, row["range_no"] == 0).state if kind else None
+            return markdown_units(row["range_text"], state)[1], True
+        lexed = lex(kind, row["range_text"], state, row["range_no"] == 0 and not _in_midst(row["start_line"])) if kind else None
+        return (lexed.state, not lexed.errors) if lexed else (None, True)
+
+    def unsure(row):
+        return unit_kind(row["uri"]) not in (None, "markdown") and _in_midst(row["start_line"])
 
-    known = ranges.join(entry_states(ranges, ["item"], candidates, end_state), ["item", "range_no"])
+    known = ranges.join(entry_states(ranges, ["item"], candidates, end_state, unsure), ["item", "range_no"])
 
     def brackets(batches):
         for pdf in batches:
@@ -129,41 +156,31 @@ def _unit_table(ranges: DataFrame) -> DataFrame:
                 kind = unit_kind(r.uri)
                 s = ("", "", False)
                 if kind and kind != "markdown":
-                    s = bracket_summary(lex(kind, r.range_text, state_of(r.entry), r.range_no == 0).tokens)
-                rows.append([r.item, r.range_no, *s])
-            yield pd.DataFrame(rows, columns=["item", "range_no", "closing", "opening", "misfit"])
+                    s = bracket_summary(lex(kind, r.range_text, state_of(r.entry), r.range_no == 0 and not _in_midst(r.start_line)).tokens)
+                rows.append([r.item, r.range_no, _in_midst(r.start_line), *s])
+            yield pd.DataFrame(rows, columns=["item", "range_no", "window", "closing", "opening", "misfit"])
 
     def prefix(pdf):
         pdf = pdf.sort_values("range_no")
         total = ("", "", False)
         for r in pdf.itertuples():
             total = join_brackets(total, (r.closing, r.opening, r.misfit))
-        at = 0 if total[2] else len(total[0].split())
+        at = len(total[0].split()) if bool(pdf["window"].iloc[0]) and not total[2] else 0
         rows, total = [], ("", " ".join(["{"] * at), False)
         for r in pdf.itertuples():
             rows.append([r.item, r.range_no, len(total[1].split())])
             total = join_brackets(total, (r.closing, r.opening, r.misfit)) if not total[2] else total
         return pd.DataFrame(rows, columns=["item", "range_no", "depth"])
 
-    depths = known.mapInPandas(brackets, "item bigint, range_no int, closing string, opening string, misfit boolean").groupBy("item").applyInPandas(prefix, "item bigint, range_no int, depth int")
+    depths = known.mapInPandas(brackets, "item bigint, range_no int, window boolean, closing string, opening string, misfit boolean").groupBy("item").applyInPandas(prefix, "item bigint, range_no int, depth int")
 
     def find(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                kind = unit_kind(r.uri)
-                window = pd.notna(r.start_line) and r.start_line > 1
-                run, whole, reach = 0, False, False
-                if kind == "markdown":
-                    units = markdown_units(r.range_text, state_of(r.entry))[0]
-                elif kind:
-                    found, run, whole = code_units(kind, r.range_text, state_of(r.entry), r.depth, r.range_no == 0, window)
-                    units, reach = [u for u, _ in found], any(x for _, x in found)
-                else:
-                    units = []
-                lines = _lines(r.range_text)
-                rows.append([r.item, r.id, r.start_line, r.range_no, [len(x) for x in lines], units, [k for k, x in enumerate(lines) if not x.strip()], reach, run, whole])
-            yield pd.DataFrame(rows, columns=["item", "id", "start_line", "range_no", "lengths", "units", "blanks", "reach", "run", "whole"])
+                row = _range_row(unit_kind(r.uri), r.range_text, state_of(r.entry), r.depth, r.range_no == 0, _in_midst(r.start_line))
+                rows.append([r.item, r.id, r.start_line, r.range_no, *row])
+            yield pd.DataFrame(rows, columns=["item", "id", "start_line", "range_no", *_ROW])
 
     kind = ranges.schema["id"].dataType.simpleString()
     return known.join(depths, ["item", "range_no"]).mapInPandas(
@@ -178,16 +195,20 @@ def _lines(text: str) -> list[str]:
     return lines + [out[-1]] if out[-1] else lines
 
 
-def _stitch(pdf: pd.DataFrame) -> tuple[list[int], list[int], set[int]]:
+def _in_order(pdf: pd.DataFrame) -> list[tuple]:
+    return list(pdf.sort_values("range_no")[_ROW].itertuples(index=False, name=None))
+
+
+def _stitch(rows: list[tuple]) -> tuple[list[int], list[int], set[int]]:
     """Line lengths, units and blank lines of a whole item from its ranges."""
     lengths, units, blanks, run = [], set(), set(), 0
-    for r in pdf.sort_values("range_no").itertuples():
+    for row_lengths, row_units, row_blanks, reach, row_run, whole in rows:
         base = len(lengths)
-        for u in r.units:
-            units.add(base + u - (run if r.reach and u == 0 else 0))
-        run = r.run + (run if r.whole else 0)
-        blanks.update(base + b for b in r.blanks)
-        lengths.extend(r.lengths)
+        for u in row_units:
+            units.add(base + u - (run if reach and u == 0 else 0))
+        run = row_run + (run if whole else 0)
+        blanks.update(base + b for b in row_blanks)
+        lengths.extend(row_lengths)
     return [int(x) for x in lengths], sorted(int(u) for u in units), blanks
 
 
@@ -214,7 +235,7 @@ def unit_boundaries(
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [x for r in pdf.itertuples() for x in rows_of(r.id, unit_lines(r.uri, r.range_text, pd.notna(r.start_line) and r.start_line > 1))]
+            rows = [x for r in pdf.itertuples() for x in rows_of(r.id, unit_lines(r.uri, r.range_text, _in_midst(r.start_line)))]
             yield pd.DataFrame(rows, columns=["id", "line_no"])
 
     out = ranges.where("n_ranges = 1").mapInPandas(whole, schema)
@@ -222,7 +243,7 @@ def unit_boundaries(
     if not several.isEmpty():
 
         def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(rows_of(pdf["id"].iloc[0], _stitch(pdf)[1]), columns=["id", "line_no"])
+            return pd.DataFrame(rows_of(pdf["id"].iloc[0], _stitch(_in_order(pdf))[1]), columns=["id", "line_no"])
 
         out = out.unionByName(_unit_table(several).groupBy("item").applyInPandas(joined, schema))
     return out.distinct().withColumnRenamed("id", id_col)
@@ -250,9 +271,8 @@ def split_items(
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                lines = _lines(r.range_text)
-                units = unit_lines(r.uri, r.range_text, pd.notna(r.start_line) and r.start_line > 1)
-                plan = plan_pieces([len(x) for x in lines], units, {k for k, x in enumerate(lines) if not x.strip()}, max_lines, max_chars, overlap_lines, overlap_chars)
+                lengths, units, blanks = _stitch([_whole_row(unit_kind(r.uri), r.range_text, _in_midst(r.start_line))])
+                plan = plan_pieces(lengths, units, blanks, max_lines, max_chars, overlap_lines, overlap_chars)
                 base = first_line(r.start_line)
                 rows += [[r.id, k + 1, base + a, base + b, x, r.range_text[x:y]] for k, (a, b, x, y) in enumerate(plan)]
             yield pd.DataFrame(rows, columns=columns)
@@ -262,7 +282,7 @@ def split_items(
     if not several.isEmpty():
 
         def planned(pdf: pd.DataFrame) -> pd.DataFrame:
-            lengths, units, blanks = _stitch(pdf)
+            lengths, units, blanks = _stitch(_in_order(pdf))
             base = first_line(pdf["start_line"].iloc[0])
             plan = plan_pieces(lengths, units, blanks, max_lines, max_chars, overlap_lines, overlap_chars)
             return pd.DataFrame([[pdf["item"].iloc[0], k + 1, base + a, base + b, x, y] for k, (a, b, x, y) in enumerate(plan)], columns=["item", "piece_no", "start_line", "end_line", "a", "b"])

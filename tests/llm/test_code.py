@@ -139,3 +139,14 @@ def test_not_handwritten(spark):
     found = {r["file_id"]: set(r["reasons"]) for r in not_handwritten(df).collect()}
     assert set(found) == {0, 1, 2, 3, 4, 5, 12} and "copied" in found[2] and found[12] == {"generated"}
     assert not_handwritten(df.limit(0)).count() == 0
+
+
+def test_windows_of_several_ranges(spark):
+    """A part of a file that begins inside a comment or string, or at a depth,
+    has the same units in one range as in several."""
+    body = "".join(f"def f{k}(x):\n    return {k}\n\n" for k in range(40))
+    js = "".join(f"function f{k}(x) {{\n  return {k};\n}}\n\n" for k in range(40))
+    rows = [(1, "a.py", "the end of a doc\n\"\"\"\n\n" + body, 50), (2, "b.js", " the end of a note\n */\n" + js, 50), (3, "c.js", "  return 1;\n}\n" + js, 50), (4, "d.js", "}\n" + js, 1), (5, "e.py", body, 50)]
+    df = spark.createDataFrame(rows, "chunk_id bigint, uri string, content string, start_line int")
+    one, many = ({(r["chunk_id"], r["line_no"]) for r in unit_boundaries(df, range_chars=n).collect()} for n in (1_000_000, 200))
+    assert one == many and {k for k, line in one if line} == {1, 2, 3, 4, 5}
