@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions.lexing import CLOSERS, COMMENT, ENTRY_STATES, LANGUAGE_OF, OP, OPENERS, bracket_summary, extension, join_brackets, lex, line_starts
 from sourceloom.llm.ranges import RANGE_CHARS, cut_ranges, entry_states, state_of
-from sourceloom.llm.syntax import Bad, check_python, check_tokens
+from sourceloom.llm.syntax import Bad, check_order, check_python, check_tokens
 from sourceloom.session import spread
 
 #: Spellings of languages and what they mean.
@@ -35,12 +35,13 @@ def language_of(path: str | None) -> str | None:
     return {k: v for k, v in LANGUAGE_OF.items() if k in ("py", "js", "ts", "go", "rs", "java")}.get(extension(path))
 
 
-def check_piece(language: str, text: str, first: bool = True) -> None:
+def check_piece(language: str, text: str, first: bool = True) -> str:
     """Raises Bad unless a piece, in plain code at depth zero, is whole
-    statements. Pieces behind the first skip what only a file's head needs."""
+    statements. Pieces behind the first skip what only a file's head needs.
+    Gives marks of what may not come in any order (see check_order)."""
     if language == "python":
         check_python(text)
-        return
+        return ""
     lexed = lex(language, text, None, first)
     if lexed.state:
         raise Bad("the end is inside a comment, string or template")
@@ -50,7 +51,7 @@ def check_piece(language: str, text: str, first: bool = True) -> None:
     if language == "go" and not first:
         text = "package p;" + text
         tokens = lex(language, text).tokens
-    check_tokens(language, tokens, text)
+    return check_tokens(language, tokens, text)
 
 
 def verdict(language: str, text: str) -> str | None:
@@ -164,24 +165,25 @@ def _of_ranges(ranges: DataFrame, kind: str) -> DataFrame:
             for r in pdf.itertuples():
                 error = r.error if isinstance(r.error, str) else None
                 if error:
-                    rows.append([r.file, r.id, r.language, r.range_no, "", "", True, False, error])
+                    rows.append([r.file, r.id, r.language, r.range_no, "", "", True, False, "", error])
                     continue
                 at = _boundaries(r.language, r.range_text, state_of(r.entry), r.depth)
                 if r.range_no == 0:
                     at = [0, *[x for x in at if x]]
                 if not at:
-                    rows.append([r.file, r.id, r.language, r.range_no, r.range_text, "", False, False, None])
+                    rows.append([r.file, r.id, r.language, r.range_no, r.range_text, "", False, False, "", None])
                     continue
+                marks = ""
                 try:
                     if at[0] < at[-1]:
-                        check_piece(r.language, r.range_text[at[0] : at[-1]], r.range_no == 0)
+                        marks = check_piece(r.language, r.range_text[at[0] : at[-1]], r.range_no == 0)
                 except Bad as e:
                     error = str(e)
-                rows.append([r.file, r.id, r.language, r.range_no, r.range_text[: at[0]], r.range_text[at[-1] :], True, at[-1] == 0, error])
-            yield pd.DataFrame(rows, columns=["file", "id", "language", "range_no", "head", "tail", "cut", "whole", "error"])
+                rows.append([r.file, r.id, r.language, r.range_no, r.range_text[: at[0]], r.range_text[at[-1] :], True, at[-1] == 0, marks, error])
+            yield pd.DataFrame(rows, columns=["file", "id", "language", "range_no", "head", "tail", "cut", "whole", "marks", "error"])
 
     parts = known.join(depths, ["file", "range_no"]).mapInPandas(
-        statements, f"file bigint, id {kind}, language string, range_no int, head string, tail string, cut boolean, whole boolean, error string"
+        statements, f"file bigint, id {kind}, language string, range_no int, head string, tail string, cut boolean, whole boolean, marks string, error string"
     )
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,15 +191,17 @@ def _of_ranges(ranges: DataFrame, kind: str) -> DataFrame:
         language = pdf["language"].iloc[0]
         error = next((e for e in pdf["error"] if isinstance(e, str)), None)
         if error is None:
-            pieces, pending, first = [], "", False
+            pieces, pending, first, before = [], "", False, ""
             for r in pdf.itertuples():
                 pending += r.head
                 if r.cut:
-                    pieces.append((pending, first))
+                    pieces += [(pending, first, None), ("", False, r.marks)]
                     pending, first = r.tail, r.range_no == 0 and r.whole
             try:
-                for piece, first in [*pieces, (pending, first)]:
-                    check_piece(language, piece, first)
+                for piece, first, marks in [*pieces, (pending, first, None)]:
+                    marks = check_piece(language, piece, first) if marks is None else marks
+                    check_order(before, marks)
+                    before += marks
             except Bad as e:
                 error = str(e)
         return pd.DataFrame([[pdf["id"].iloc[0], language, error is None, error]], columns=["id", "checked_as", "parses", "reason"])

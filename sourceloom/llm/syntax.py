@@ -72,10 +72,21 @@ def _is_word(language: str, token) -> bool:
     return token[0] == ID and token[1] in _KEYWORDS[language] and token[1] not in _OPERAND_WORDS
 
 
-def check_tokens(language: str, tokens: list, text: str) -> None:
-    """Raises Bad at the first place that no program of the language has."""
+def check_tokens(language: str, tokens: list, text: str) -> str:
+    """Raises Bad at the first place that no program of the language has. Gives
+    marks of what else in a file depends on (see check_order)."""
     code = [t for t in tokens if t[0] != COMMENT]
-    {"javascript": _script, "typescript": _script, "go": _go, "rust": _rust, "java": _java}[language](language, code, text)
+    return {"javascript": _script, "typescript": _script, "go": _go, "rust": _rust, "java": _java}[language](language, code, text) or ""
+
+
+def check_order(before: str, marks: str) -> None:
+    """Raises Bad if a piece with such marks can't follow pieces with those of
+    before: p a package clause, i an import, d a declaration or type, c the
+    word class."""
+    if "i" in marks and "d" in before:
+        raise Bad("late import")
+    if "p" in marks and ("i" in before or "c" in before):
+        raise Bad("late package")
 
 
 def _line_between(text: str, a, b) -> bool:
@@ -380,7 +391,7 @@ def _returns_type(code, k: int, pairs) -> bool:
     return False
 
 
-def _go(language: str, code, text: str) -> None:
+def _go(language: str, code, text: str) -> str | None:
     if not code:
         return
     pairs = _match_brackets(code)
@@ -388,7 +399,7 @@ def _go(language: str, code, text: str) -> None:
         raise Bad("no package clause")
     depth_first = True
     stack: list[tuple[str, object]] = []
-    seen_other = False
+    seen_other = seen_import = False
     n = len(code)
     p = None
     run = 0
@@ -408,6 +419,7 @@ def _go(language: str, code, text: str) -> None:
                 raise Bad("late import")
             if word == "package" and k:
                 raise Bad("second package clause")
+            seen_import = seen_import or word == "import"
             seen_other = seen_other or word in ("func", "var", "const", "type")
         operand = p is not None and not semicolon and (p[0] in (NUM, STR) or p[0] == ID and p[1] not in _GO_WORDS or p[0] == OP and p[1] in (")", "]", "}"))
         if kind == NUM and re.match(r"\d+[A-Za-z_]", word) and not re.fullmatch(r"0[xXbBoO][0-9a-fA-F_]+|[0-9_]+\.?[0-9_]*(?:[eE][+-]?\d+)?i?", word):
@@ -494,6 +506,7 @@ def _go(language: str, code, text: str) -> None:
                 raise Bad("func without parameters")
         if kind == ID and word in ("type",) and k + 2 >= n:
             raise Bad("type without a body")
+    return "i" * seen_import + "d" * seen_other
 
 
 def _go_literal(code, k: int, pairs) -> bool:
@@ -634,7 +647,7 @@ def _rust(language: str, code, text: str) -> None:
 _JAVA_MODIFIERS = set("public protected private abstract static final transient volatile synchronized native strictfp sealed non default".split())
 
 
-def _java(language: str, code, text: str) -> None:
+def _java(language: str, code, text: str) -> str | None:
     if not code:
         return
     pairs = _match_brackets(code)
@@ -642,7 +655,7 @@ def _java(language: str, code, text: str) -> None:
     stack: list[str] = []
     p = None
     run = 0
-    seen_type = seen_import = False
+    seen_type = seen_import = seen_package = False
     for k, token in enumerate(code):
         kind, word, at = token
         nxt = code[k + 1] if k + 1 < n else PAST_TOKEN
@@ -653,6 +666,7 @@ def _java(language: str, code, text: str) -> None:
                 raise Bad(f"{word} at top level")
             if word == "package" and (k and not all(c[1] != "class" for c in code[:k]) or seen_import):
                 raise Bad("late package")
+            seen_package = seen_package or word == "package"
             if word == "import":
                 if seen_type:
                     raise Bad("late import")
@@ -788,6 +802,7 @@ def _java(language: str, code, text: str) -> None:
                 if code[j][1] in (";", "}", "=", "(") and code[j][0] == OP:
                     raise Bad(f"{word} without a body")
                 j += 1
+    return "p" * seen_package + "i" * seen_import + "d" * seen_type + "c" * any(t[1] == "class" for t in code)
 
 
 def _annotation(code, k: int) -> bool:
@@ -813,12 +828,18 @@ def _java_type_head(code, k: int) -> str | None:
 
 
 def check_python(source: str) -> None:
-    """Raises Bad if a piece of Python isn't whole statements of Python 3.12."""
+    """Raises Bad if a piece of Python isn't whole statements of Python 3.12.
+
+    A RecursionError comes after the grammar has accepted the piece, which then
+    parses, without what the compiler checks on the tree. A MemoryError is that
+    of a parser whose stack is full, so that Python can't read the piece."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(ast.parse(source, feature_version=(3, 12)), "piece", "exec", dont_inherit=True)
     except (SyntaxError, ValueError) as e:
         raise Bad(str(e)[:120]) from None
-    except (RecursionError, MemoryError):
+    except RecursionError:
         pass
+    except MemoryError:
+        raise Bad("nested too deeply for the parser") from None

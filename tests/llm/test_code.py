@@ -150,3 +150,19 @@ def test_windows_of_several_ranges(spark):
     df = spark.createDataFrame(rows, "chunk_id bigint, uri string, content string, start_line int")
     one, many = ({(r["chunk_id"], r["line_no"]) for r in unit_boundaries(df, range_chars=n).collect()} for n in (1_000_000, 200))
     assert one == many and {k for k, line in one if line} == {1, 2, 3, 4, 5}
+
+
+def test_order_is_carried_from_range_to_range(spark):
+    go = 'package p\n\nimport "fmt";\n\n' + "".join(f"func f{k}() {{\n\tfmt.P({k})\n}}\n\n" for k in range(9))
+    java = "package a.b;\n\nimport java.util.List;\nimport java.util.Map;\n\n" + "".join(f"class A{k} {{\n    int x = {k};\n}}\n\n" for k in range(9))
+    bad = [("a.go", go + 'import "os";\n\n' + "var x = 1;\n" * 9), ("b.go", GOOD["go"] * 3), ("a.java", java + "import java.util.Set;\n" * 9), ("b.java", java + "package c;\n" + "class Z { }\n" * 9), ("c.java", GOOD["java"] * 3)]
+    rows = [(k, *row) for k, row in enumerate([("good.go", go), ("good.java", java), *bad])]
+    df = spark.createDataFrame(rows, "file_id bigint, path string, content string")
+    for chars in (1_000_000, 90):
+        assert {r["file_id"] for r in parse_check(df, range_chars=chars).where("parses").collect()} == {0, 1}
+
+
+def test_python_too_deep_for_the_parser():
+    deep = "x = " + "-" * 200_000 + "1\n"
+    assert verdict("python", deep) == "nested too deeply for the parser"
+    assert verdict("python", "x = " + "a + " * 20_000 + "b\n") is None and verdict("python", "x = " + "a + " * 20_000 + "b\ny = = 1\n") is not None
