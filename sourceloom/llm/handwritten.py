@@ -197,7 +197,8 @@ def copied_code(files: DataFrame) -> DataFrame:
     """Code hashes that occur in several projects, ``n`` rows each, if a copy
     is vendored by name or notice, or if many projects have it."""
     vendored = F.max((F.array_contains("named", "vendored") | F.array_contains("shown", "vendored")).cast("int"))
-    counted = files.where("code_hash IS NOT NULL").groupBy("code_hash").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("project").alias("projects"), vendored.alias("v"))
+    each = files.where("code_hash IS NOT NULL").groupBy("code_hash", "project").agg(F.count(F.lit(1)).alias("n"), vendored.alias("v"))
+    counted = each.groupBy("code_hash").agg(F.sum("n").alias("n"), F.count("project").alias("projects"), F.max("v").alias("v"))
     return counted.where("n > 1 AND (v = 1 OR projects >= 4)").select("code_hash", "n", F.lit(True).alias("copied"))
 
 
@@ -210,7 +211,8 @@ def mined_patterns(files: DataFrame) -> DataFrame:
     patterns = F.array_distinct(F.concat(dirs, F.array(ending)))
     evident = (F.size("shown") > 0) | F.coalesce("copied", F.lit(False))
     seen = files.select(F.explode(patterns).alias("pattern"), "project", evident.cast("int").alias("e")).where("pattern <> ''")
-    counted = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e"), F.approx_count_distinct("project").alias("projects"))
+    each = seen.groupBy("pattern", "project").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e"))
+    counted = each.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.count("project").alias("projects"))
     return counted.where((F.col("n") >= MINED_FILES) & (F.col("projects") >= MINED_PROJECTS) & (F.col("e") >= MINED_SHARE * F.col("n"))).select("pattern")
 
 

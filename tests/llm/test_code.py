@@ -4,7 +4,7 @@ import pytest
 
 from sourceloom.functions.lexing import bracket_summary, join_brackets, lex
 from sourceloom.llm.attributes import declared, parse_attributes
-from sourceloom.llm.handwritten import content_evidence, not_handwritten, path_evidence
+from sourceloom.llm.handwritten import MINED_FILES, content_evidence, copied_code, mined_patterns, not_handwritten, path_evidence
 from sourceloom.llm.parsing import broken_symbols, parse_check, parse_rates, verdict
 from sourceloom.llm.splitting import MAX_CHARS, MAX_LINES, plan_pieces, split_items, unit_boundaries, unit_lines
 
@@ -166,3 +166,12 @@ def test_python_too_deep_for_the_parser():
     deep = "x = " + "-" * 200_000 + "1\n"
     assert verdict("python", deep) == "nested too deeply for the parser"
     assert verdict("python", "x = " + "a + " * 20_000 + "b\n") is None and verdict("python", "x = " + "a + " * 20_000 + "b\ny = = 1\n") is not None
+
+
+def test_projects_are_counted_exactly(spark):
+    """Code in exactly four projects, patterns in exactly three, of any names."""
+    schema = "file_id bigint, project string, path string, shown array<string>, named array<string>, code_hash bigint, copied boolean"
+    rows = [(h * 4 + k, f"p{h}-{k}", "a.js", [], [], h, None) for h in range(2000) for k in range(4)]
+    assert copied_code(spark.createDataFrame(rows, schema)).count() == 2000
+    rows = [(h * 60 + k, f"p{h}-{k % 3}", f"d{h}/a{k}.js", ["generated"], [], None, None) for h in range(600) for k in range(MINED_FILES + 2)]
+    assert mined_patterns(spark.createDataFrame(rows, schema)).count() == 600
