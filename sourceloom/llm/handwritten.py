@@ -3,8 +3,9 @@
 Repositories may declare in attribute files which paths are generated or
 vendored. For the others, equivalent path patterns are mined: a directory name
 or name ending counts if nearly all files that have it, over several projects,
-show by their content that nobody wrote them there (a generator's notice,
-an upstream notice, minified code, data, or the same code in other projects).
+show that nobody wrote them there, by their content (a generator's notice, an
+upstream notice, minified code, data, or the same code in other projects) or,
+among projects with attribute files, by what these declare.
 Patterns that are common knowledge complete the mined ones.
 """
 
@@ -202,18 +203,48 @@ def copied_code(files: DataFrame) -> DataFrame:
     return counted.where("n > 1 AND (v = 1 OR projects >= 4)").select("code_hash", "n", F.lit(True).alias("copied"))
 
 
+def with_declared(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds to files what their project's attribute files say: ``has_rules``,
+    and ``generated`` and ``vendored``, null where nothing is said."""
+    if rules.isEmpty():
+        return files.withColumns({"has_rules": F.lit(False), **{c: F.lit(None).cast("boolean") for c in ("generated", "vendored")}})
+    joined = files.join(F.broadcast(rules) if under(rules, 20_000) else rules, "project", "left")
+    ruled = joined.where("rules IS NOT NULL")
+
+    def say(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            said = [declared(r.path, [(x["regex"], x["name"], x["is_on"], x["depth"], x["line"]) for x in r.rules]) for r in pdf.itertuples()]
+            out = pdf[["file_id", "project", "path"]].copy()
+            out["generated"] = pd.array([x.get("linguist-generated") for x in said], dtype="boolean")
+            out["vendored"] = pd.array([x.get("linguist-vendored") for x in said], dtype="boolean")
+            yield out
+
+    kind = files.schema["file_id"].dataType.simpleString()
+    said = ruled.select("file_id", "project", "path", "rules").distinct().mapInPandas(say, f"file_id {kind}, project string, path string, generated boolean, vendored boolean")
+    return files.join(said.withColumn("has_rules", F.lit(True)), ["file_id", "project", "path"], "left").withColumn("has_rules", F.coalesce("has_rules", F.lit(False)))
+
+
 def mined_patterns(files: DataFrame) -> DataFrame:
     """Directory names and name endings that nearly only files have whose
-    content or copies show that they aren't hand-written: ``pattern``."""
+    content or copies show that they aren't hand-written: ``pattern``. So too
+    such that nearly only such or declared files have in the projects with
+    attribute files, as the other projects can't declare theirs."""
     parts = F.split("path", "/")
     dirs = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda d: F.concat(d, F.lit("/")))
     ending = F.regexp_extract(F.element_at(parts, -1), r"(\.[A-Za-z]{2,9}\.[A-Za-z]+|_[a-z]+\d\.[a-z]+)$", 1)
     patterns = F.array_distinct(F.concat(dirs, F.array(ending)))
     evident = (F.size("shown") > 0) | F.coalesce("copied", F.lit(False))
-    seen = files.select(F.explode(patterns).alias("pattern"), "project", evident.cast("int").alias("e")).where("pattern <> ''")
-    each = seen.groupBy("pattern", "project").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e"))
-    counted = each.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.count("project").alias("projects"))
-    return counted.where((F.col("n") >= MINED_FILES) & (F.col("projects") >= MINED_PROJECTS) & (F.col("e") >= MINED_SHARE * F.col("n"))).select("pattern")
+    known = "has_rules" in files.columns
+    ruled = F.col("has_rules") if known else F.lit(False)
+    said = F.coalesce(F.col("generated") | F.col("vendored"), F.lit(False)) if known else F.lit(False)
+    seen = files.select(F.explode(patterns).alias("pattern"), "project", (evident | said).cast("int").alias("e"), ruled.alias("ruled")).where("pattern <> ''")
+    each = seen.groupBy("pattern", "project").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e"), F.max("ruled").alias("ruled"))
+
+    def enough(among: DataFrame) -> DataFrame:
+        counted = among.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.count("project").alias("projects"))
+        return counted.where((F.col("n") >= MINED_FILES) & (F.col("projects") >= MINED_PROJECTS) & (F.col("e") >= MINED_SHARE * F.col("n"))).select("pattern")
+
+    return enough(each).unionByName(enough(each.where("ruled"))).distinct() if known else enough(each)
 
 
 def not_handwritten(sources: DataFrame) -> DataFrame:
@@ -231,25 +262,23 @@ def not_handwritten(sources: DataFrame) -> DataFrame:
     files = durable(file_evidence(sources))
     total = files.count()
     copies = durable(copied_code(files))
-    marked = durable(_join_hot(files, copies, "code_hash", "n", total))
-    patterns = durable(mined_patterns(marked))
+    rules = durable(declared_marks(sources))
+    marked = durable(with_declared(_join_hot(files, copies, "code_hash", "n", total), rules))
+    patterns = durable(mined_patterns(marked if not rules.isEmpty() else marked.drop("has_rules")))
     parts = F.split("path", "/")
     name_ending = F.regexp_extract(F.element_at(parts, -1), r"(\.[A-Za-z]{2,9}\.[A-Za-z]+|_[a-z]+\d\.[a-z]+)$", 1)
     components = F.array_distinct(F.concat(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda d: F.concat(d, F.lit("/"))), F.array(name_ending)))
     hits = marked.select("file_id", "project", "path", F.explode(components).alias("pattern"))
     few = under(patterns, 100_000)
     by_pattern = hits.join(F.broadcast(patterns) if few else patterns, "pattern", "left_semi").select("file_id", "project", "path").distinct().withColumn("mined", F.lit(True))
-    rules = durable(declared_marks(sources))
     joined = marked.join(by_pattern, ["file_id", "project", "path"], "left")
-    joined = joined.join(F.broadcast(rules) if under(rules, 20_000) else rules, "project", "left")
     kind = files.schema["file_id"].dataType.simpleString()
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                said = declared(r.path, [(x["regex"], x["name"], x["is_on"], x["depth"], x["line"]) for x in r.rules]) if r.rules is not None else {}
-                generated, vendored = said.get("linguist-generated"), said.get("linguist-vendored")
+                generated, vendored = ((None if pd.isna(x) else bool(x)) for x in (r.generated, r.vendored))
                 reasons = set(r.shown)
                 by_name = set(r.named) | ({"mined"} if r.mined is True else set())
                 if generated is False:
@@ -267,4 +296,4 @@ def not_handwritten(sources: DataFrame) -> DataFrame:
                     rows.append([r.file_id, r.project, r.path, sorted(reasons)])
             yield pd.DataFrame(rows, columns=["file_id", "project", "path", "reasons"])
 
-    return joined.select("file_id", "project", "path", "shown", "named", "mined", "copied", "rules").mapInPandas(decide, f"file_id {kind}, project string, path string, reasons array<string>")
+    return joined.select("file_id", "project", "path", "shown", "named", "mined", "copied", "generated", "vendored").mapInPandas(decide, f"file_id {kind}, project string, path string, reasons array<string>")

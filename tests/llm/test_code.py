@@ -175,3 +175,14 @@ def test_projects_are_counted_exactly(spark):
     assert copied_code(spark.createDataFrame(rows, schema)).count() == 2000
     rows = [(h * 60 + k, f"p{h}-{k % 3}", f"d{h}/a{k}.js", ["generated"], [], None, None) for h in range(600) for k in range(MINED_FILES + 2)]
     assert mined_patterns(spark.createDataFrame(rows, schema)).count() == 600
+
+
+def test_declared_patterns_are_mined_for_other_projects(spark):
+    own = lambda k, j: f"export const a{k}x{j} = {k} + {j};\n"
+    rows = [(k * 100 + j, f"p{k}", f"stubs/a{j}.js", own(k, j)) for k in range(7) for j in range(4)] + [(k * 100 + 50, f"p{k}", f"src/a{k}.js", own(k, 50)) for k in range(7)]
+    rows += [(k * 100 + 99, f"p{k}", ".gitattributes", "stubs/** linguist-generated\n") for k in range(3)] + [(699, "p6", ".gitattributes", "stubs/a0.js -linguist-generated\n")]
+    df = spark.createDataFrame(rows, "file_id bigint, project string, path string, content string")
+    found = {r["file_id"]: r["reasons"] for r in not_handwritten(df.where("file_id <> 699")).collect()}
+    assert set(found) == {k * 100 + j for k in range(7) for j in range(4)} and found[301] == ["mined"] and "generated" in found[1]
+    assert not_handwritten(df.where("path <> '.gitattributes'")).count() == 0
+    assert {r["file_id"] // 100 for r in not_handwritten(df).collect()} == {0, 1, 2}
