@@ -38,15 +38,26 @@ _GENERATED_NOTICE = re.compile(
     (?:this\s+(?:file|code|class|module)\s+(?:is|was|has\s+been)\s+)?generated\s+(?:by|from|with|using)\s+(?:the\s+)?[\w./-]+.*(?:do\s+not|don't)\s+(?:edit|modify|change)\b.*|(?:this\s+(?:file|code)\s+(?:is|was|has\s+been)\s+)generated\s+(?:by|from|with|using)\b.*)$""",
     re.I | re.X,
 )
+_MADE_NOTICE = re.compile(
+    r"""^\W*(?:(?:this|the)\s+(?:file|code|class|module|source|package)\s+(?:is|was|has\s+been)\s+)?(?:(?:automatically|machine)[-\s]+)?(?:produced|created|emitted|written|compiled|built|rendered|generated|exported|assembled|output)\s+(?:by|from|with|using)\s+[\w./@-]+.*
+    \b(?:(?:changes|edits|modifications)\b.*\b(?:lost|overwritten|discarded|replaced|reverted)|(?:do\s+not|don't|never)\s+(?:edit|modify|change|touch)|(?:edit|change|modify)\b.*\binstead)\b""",
+    re.I | re.X,
+)
 _UPSTREAM_NOTICE = re.compile(
     r"""(?:\bcopied\s+(?:verbatim\s+)?from\s+[\w.@/-]+\s+v?\d+\.\d+|\bvendored\s+from\b|\bkept\s+as\s+is\s+upstream\b|^\W*upstream:\s*https?://|\(c\)\s+(?:\d{4}\s+)?the\s+[\w.-]+\s+authors\b.*|^\W*[\w.@/-]+\s+v\d+\.\d+\.\d+\W*$|^/\*!\s*[\w.@/-]+\s+v?\d+\.\d+|\bthis\s+is\s+a\s+copy\s+of\s+[\w.-]+\s+v?\d+\.\d+)""",
     re.I | re.X,
 )
 
+_DIGITS = re.compile(r"\d+")
+
 #: A pattern is mined from so many files of so many projects at least, if so
 #: large a share of them shows it by content.
 MINED_FILES, MINED_PROJECTS, MINED_SHARE = 8, 3, 0.9
 
+#: So many declarations of one shape at least, numbered one after the other,
+#: that make up so large a share of the code, are written by a tool.
+TEMPLATE_REPEATS, TEMPLATE_SHARE = 8, 0.7
+
 #: Tokens from which equal code in several projects counts as a copy.
 COPY_TOKENS = 40
 
@@ -77,12 +88,14 @@ def content_evidence(path: str, content: str | None) -> tuple[list[str], int | N
             continue
         for line in word.split("\n"):
             line = line.strip().strip("\r")
-            if len(line) < 300 and _GENERATED_NOTICE.match(line.strip("/*# \t!;-")):
+            if len(line) < 300 and (_GENERATED_NOTICE.match(line.strip("/*# \t!;-")) or _MADE_NOTICE.match(line)):
                 found.append("generated")
             elif head and len(line) < 300 and (_UPSTREAM_NOTICE.search(line) or _UPSTREAM_NOTICE.search(line.strip("/*# \t!;-"))):
                 found.append("vendored")
     if is_minified(text, code):
         found.append("minified")
+    elif is_templated(code):
+        found.append("generated")
     if is_data(text, code):
         found.append("data")
     digest = xxh64_intdigest(" ".join(t[1] for t in code).replace("\r", "")) - 2**63 if len(code) >= COPY_TOKENS else None
@@ -117,6 +130,30 @@ def is_minified(text: str, code: list) -> bool:
     return tight > 0.7 and (letters / names < 5 or blanks < 0.1)
 
 
+def is_templated(code: list) -> bool:
+    """Whether most of the code is one shape that is repeated under names which
+    differ by a running number only, as tools write it from a template."""
+    at: dict[str, dict[int, int]] = {}
+    for k, (kind, word, _) in enumerate(code):
+        if kind == ID and word[-1].isdecimal():
+            stem = word.rstrip("0123456789")
+            if stem and len(word) > len(stem):
+                at.setdefault(stem, {}).setdefault(int(word[len(stem) :]), k)
+    for numbers in at.values():
+        if len(numbers) < TEMPLATE_REPEATS:
+            continue
+        starts = [numbers[x] for x in sorted(numbers) if x - 1 in numbers or x + 1 in numbers]
+        shapes: dict[tuple, int] = {}
+        for a, b in zip(starts, starts[1:]):
+            if a < b:
+                shape = tuple(kind if kind == NUM else _DIGITS.sub("0", word) for kind, word, _ in code[a:b])
+                shapes[shape] = shapes.get(shape, 0) + 1
+        shape, times = max(shapes.items(), key=lambda x: x[1] * len(x[0]), default=((), 0))
+        if times + 1 >= TEMPLATE_REPEATS and (times + 1) * len(shape) >= TEMPLATE_SHARE * len(code) and len(shape) > 4:
+            return True
+    return False
+
+
 def is_data(text: str, code: list) -> bool:
     """Whether literals in lists, or encoded text, make up nearly the whole
     file: at least nine tenths of its visible characters, comments aside."""

@@ -131,6 +131,18 @@ def test_content_evidence():
     assert path_evidence("a/node_modules/x.js") == ["vendored"] and path_evidence("src/generator/x.ts") == [] and path_evidence("a_pb2.py") == ["generated"] and path_evidence("x.min.js") == ["minified"]
 
 
+def test_code_from_templates_and_notices_in_other_words():
+    py = "import log\n\nLIMIT = 7\n" + "".join(f"\n\ndef get_part_{k:03}(message):\n    return message.fields[{k}]\n" for k in range(1, 14))
+    java = "package a;\n\n" + "".join(f"class Part{k:03} {{\n    int get() {{\n        return {k};\n    }}\n}}\n\n" for k in range(1, 12))
+    assert content_evidence("a.py", py)[0] == ["generated"] and content_evidence("A.java", java)[0] == ["generated"]
+    own = "".join(f"\n\ndef test_case_{k}():\n    assert f({', '.join('xy'[j % 2] for j in range(k))}) == g{'(h' * (k % 5)}{')' * (k % 5)}\n" for k in range(1, 14))
+    few = "".join(f"\n\ndef step_{k}(x):\n    return x + {k}\n" for k in range(1, 6))
+    assert content_evidence("a.py", own)[0] == [] and content_evidence("a.py", few)[0] == [] and content_evidence("a.py", few + GOOD["python"] * 9)[0] == []
+    assert content_evidence("a.go", "// This file was produced by tool from a.idl; changes will be lost.\npackage p\n")[0] == ["generated"]
+    assert content_evidence("a.py", "# Machine-generated by x/y. Edit the template instead.\nx = 1\n")[0] == ["generated"]
+    assert content_evidence("a.py", "# The report is written by tool; see the docs.\n# Changes will be lost if you don't save.\nx = 1\n")[0] == []
+
+
 def test_not_handwritten(spark):
     lib = "".join(f"export function f{k}(a, b) {{\n  return a + b + {k};\n}}\n" for k in range(8))
     rows = [(k, f"p{k}", f"vendor/lib/a{k}.js" if k % 2 else f"src/x/a{k}.js", lib + ("// c\r\n" if k == 2 else "")) for k in range(6)]
