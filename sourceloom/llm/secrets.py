@@ -33,6 +33,10 @@ KEY_OWNERS = set("api access private signing secret encryption encrypt auth acco
 ABOUT_WORDS = set("name names header headers length len min max minimum maximum limit limits budget budgets count counts ttl timeout path paths file files dir folder url uri endpoint host port type types policy prompt label field fields hint enabled required rotation expiry expires expiration age version format prefix suffix space size usage ref reference arn store provider hash hashes algorithm alg digest checksum bits days hours minutes seconds rate window bucket queue topic index column table user username email env var variable mode style count regex pattern template rules strength attempts retries".split())
 PUBLIC_WORDS = set("public pub hash sha sha1 sha256 sha512 md5 checksum digest etag fingerprint integrity uuid guid".split())
 
+#: Pairs of letters that hardly any English word has.
+UNHEARD_PAIRS = set("""bk bq bx cb cf cg cj cp cv cw cx dx fk fq fv fx fz gq gv gx hk hv hx hz iy jb jc jd jf jg jh jj jk jl jm jn jp jq jr js jt jv jw jx jy jz kq kv kx kz lq lx mg mj mq mx mz
+    pq pv px qb qc qd qf qg qh qj qk ql qm qn qp qq qs qt qv qw qx qy qz sx sz tq tx vb vc vd vf vh vj vk vm vn vp vq vt vw vx vz wq wv wx wz xb xg xj xk xq xv xz yq yv yz zb zc zg zh zj zn zq zr zs zx""".split())
+
 #: Consonants of words for credentials, which misspelt names keep.
 _SKELETONS = set("psswrd psswd scrt crdntl crdntls pssphrs".split())
 
@@ -67,7 +71,7 @@ _SCHEME = re.compile(r"""\b(?P<name>Bearer|Basic|Token|Digest)[ \t]+(?P<plain>[^
 _USERINFO = re.compile(r"""\b[a-z][a-z0-9+.-]*://[^\s:/@"'`<>]*:(?P<plain>[^\s/"'`<>@]+(?:@(?=[^\s/"'`<>]*@)[^\s/"'`<>@]+)*)@""", re.I)
 _PARAMETER = re.compile(rf"""[?&](?P<name>{_NAME})=(?P<plain>[^\s&#"'`<>]+)""")
 _NETRC = re.compile(r"""\blogin[ \t]+\S+[ \t]+(?P<name>password)[ \t]+(?P<plain>[^\s"'`]+)""")
-_OPTION = re.compile(rf"""(?<![\w-])--?(?P<name>{_NAME}?)(?:=|[ \t]+){_QUOTED[:-1]}|(?P<plain>[^\s"'`,;<>(){{}}\[\]|-][^\s"'`<>|]*))""")
+_OPTION = re.compile(rf"""(?<![\w-])--?(?P<name>{_NAME}?)(?:=|[ \t]+){_QUOTED[:-1]}|(?P<plain>(?:(?<==)-)?[^\s"'`,;<>(){{}}\[\]|-][^\s"'`<>|]*))""")
 _USER_OPTION = re.compile(r"""(?<![\w-])(?:-u|--user)[ \t]+["']?[\w.-]+:(?P<plain>[^\s"'`<>]+)""")
 _DOCKER = re.compile(rf"""^[ \t]*ENV[ \t]+(?P<name>{_NAME})[ \t]+(?:{_QUOTED}|{_PLAIN})""", re.M)
 _BELOW = re.compile(rf"""(?:(?<![\w.-])(?P<name>{_NAME})["']?[ \t]*:[ \t]*\r?\n|\bname:[ \t]*["']?(?P<name2>{_NAME})["']?[ \t]*\r?\n)[ \t]*value:[ \t]*(?:{_QUOTED}|{_PLAIN})""")
@@ -133,7 +137,8 @@ def name_says(name: str | None) -> str:
 def is_stand_in(value: str) -> bool:
     """Whether a value is to be filled in, masked or refers to something."""
     v = value.strip()
-    return not v or bool(_PLACEHOLDER.match(v)) or bool(_REFERENCE.match(v)) or bool(_MASKED.search(v) and len(v) < 60 and not re.search(r"[A-Za-z0-9+/]{24}", v))
+    refers = bool(_REFERENCE.match(v)) and not (v[:1] == "/" and any(looks_random(x) for x in v.split("/")))
+    return not v or bool(_PLACEHOLDER.match(v)) or refers or bool(_MASKED.search(v) and len(v) < 60 and not re.search(r"[A-Za-z0-9+/]{24}", v))
 
 
 def looks_random(value: str) -> bool:
@@ -147,7 +152,7 @@ def looks_random(value: str) -> bool:
         return (digits >= 2 or _jumbled(value)) and randomness(value) >= 0.7
     if _ISSUED.match(value):
         tail = re.split(r"[_.-]", value)[-1]
-        return len(tail) >= 14 and not _HEX.match(tail) and digits >= 1 and randomness(tail) >= 0.78 and bool(re.search(r"[a-z]", tail) and re.search(r"[A-Z]", tail) or digits >= 3)
+        return len(tail) >= 14 and not _HEX.match(tail) and (digits >= 1 or len(tail) >= 20 and _jumbled(tail)) and randomness(tail) >= 0.78 and bool(re.search(r"[a-z]", tail) and re.search(r"[A-Z]", tail) or digits >= 3)
     if _IDENTIFIER.match(value) or "/" in value and all(_WORDLIKE.match(p) or not p for p in re.split(r"[/.]", value)):
         return False
     core = value.rstrip("=")
@@ -185,7 +190,11 @@ def _jumbled(value: str) -> bool:
         return False
     runs = re.search(r"[a-z][A-Z]{2}|[A-Z]{3}[a-z]", letters) and re.search(r"[a-z]", letters)
     few = len(re.findall(r"[aeiouAEIOU]", letters)) < 0.26 * n
-    return n < 2.7 * parts or bool(runs) and n < 3.4 * parts or few and n >= 10
+    words = _WORDS.findall(value)
+    if any(a + b in UNHEARD_PAIRS for w in words for a, b in zip(w.lower(), w.lower()[1:])) and (runs or n >= 10):
+        return True
+    mute = any(len(w) > 1 and w[1:].islower() and not re.search(r"[aeiouy]", w.lower()) for w in words)
+    return n < 2.7 * parts or bool(runs) and (n < 3.4 * parts or mute) or few and n >= 10
 
 
 def _may_tell(text: str) -> bool:
