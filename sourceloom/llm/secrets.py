@@ -30,7 +30,7 @@ MARK = "[REDACTED]"
 #: make a name one of a hash or of something public.
 SECRET_WORDS = set("password passwd pwd pass passphrase passcode secret secrets token apikey credential credentials auth authorization sig signature pat jwt bearer authtoken accesstoken".split())
 KEY_OWNERS = set("api access private signing secret encryption encrypt auth account master service session deploy shared client hmac ssh webhook storage license licence app application consumer".split())
-ABOUT_WORDS = set("name names header headers length len min max minimum maximum limit limits budget budgets count counts ttl timeout path paths file files dir folder url uri endpoint host port type types policy prompt label field fields hint enabled required rotation expiry expires expiration age version format prefix suffix space size usage ref reference arn store provider hash hashes algorithm alg digest checksum bits days hours minutes seconds rate window bucket queue topic index column table user username email env var variable mode style count regex pattern template rules strength attempts retries".split())
+ABOUT_WORDS = set("name names header headers length len min max minimum maximum limit limits budget budgets count counts ttl timeout path paths file files dir folder url uri endpoint host port type types policy prompt label field fields hint enabled required rotation expiry expires expiration age version format prefix suffix space size usage ref reference arn store provider kind class scheme hash hashes algorithm alg digest checksum bits days hours minutes seconds rate window bucket queue topic index column table user username email env var variable mode style count regex pattern template rules strength attempts retries".split())
 PUBLIC_WORDS = set("public pub hash sha sha1 sha256 sha512 md5 checksum digest etag fingerprint integrity uuid guid".split())
 
 #: Pairs of letters that hardly any English word has.
