@@ -53,3 +53,10 @@ def test_a_language_of_tables(spark):
     words = spark.createDataFrame(WORDS, "lang string, word string")
     got = not_prose(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), words)
     assert {r["doc_id"] for r in got.collect()} == {*range(90), *range(200, 209), 400} and "in_tail" in got.columns
+
+
+def test_semicolons_in_prose_and_statements_of_words():
+    assert share("On that day, there is no need to rank the shard twice;\nthe map remembers the result of it.") > 0.9
+    assert share("This is the order of the files;\nit is kept by the writer.") > 0.9
+    assert share('def f():\n    assert the_item is not None, f"the item is not found in {the_list!r}"\n    names = [x for x in the_list if x and x is not the_item]\n    log.debug("the item is not in the list: %s", x)\n') < 0.3
+    assert share("int total = sum of the parts;\nreturn a or b or c;\nx = not a and that or this of it;\n") < 0.3
