@@ -57,9 +57,13 @@ _ONE_LINE_STRING = r'"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"'
 _ONE_LINE_QUOTE = r"'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'"
 
 
+_BLANKS = (r"[ \t\f\v\r\n]", r"[ \t\f\v\r\n\u00a0\ufeff\u2028\u2029]")
+_BLANK = [re.compile(x + "*") for x in _BLANKS]
+
+
 def _master(language: str) -> re.Pattern:
-    blank = r"[ \t\f\v\r\n\u00a0\ufeff\u2028\u2029]+" if language in ("javascript", "typescript") else r"[ \t\f\v\r\n]+"
-    parts = [rf"(?P<space>{blank})"]
+    blank = _BLANKS[language in ("javascript", "typescript")] + "+"
+    parts = []
     if language == "python":
         parts.append(r"(?P<line>#[^\n]*)")
         parts.append(r"(?P<open>(?i:[rbuf]{0,3})(?:'''|\"\"\"))")
@@ -92,10 +96,12 @@ def _master(language: str) -> re.Pattern:
     else:
         parts.append(rf"(?P<id>{_WORD})")
     parts.append(rf"(?P<op>{_ops(_OPERATORS[language])})")
-    return re.compile("|".join(parts))
+    return re.compile(f"(?:{blank})?(?:{'|'.join(parts)})")
 
 
 _MASTERS = {language: _master(language) for language in _OPERATORS}
+_GROUPS = {language: [None, *master.groupindex] for language, master in _MASTERS.items()}
+_SIMPLE = {"id": ID, "num": NUM, "op": OP, "string": STR, "life": ID}
 
 #: Words after which a slash begins a regular expression.
 _BEFORE_REGEX = set("return typeof case in of do else instanceof new void delete throw yield await default".split())
@@ -109,7 +115,7 @@ def lex(language: str, text: str, state: State = None, first: bool = True) -> Le
     """Lexes a piece that begins in a state; first: at the start of a file."""
     out = Lexed()
     tokens, errors = out.tokens, out.errors
-    match = _MASTERS[language].match
+    master, groups = _MASTERS[language], _GROUPS[language]
     script = language in ("javascript", "typescript")
     braces: list[int] = []
     i, n = 0, len(text)
@@ -169,57 +175,33 @@ def lex(language: str, text: str, state: State = None, first: bool = True) -> Le
         out.state = state
         return out
     before = None
-    while i < n:
-        m = match(text, i)
-        kind = m.lastgroup if m else None
-        if kind == "space" or kind == "cont":
-            i = m.end()
-            continue
-        if script and text[i] == "/" and kind == "op":
-            code = before
-            if code is None or (code[0] == OP and code[1] not in (")", "]", "}", "++", "--")) or (code[0] == ID and code[1] in _BEFORE_REGEX):
-                r = _REGEX.match(text, i)
-                if r:
-                    before = (STR, r.group(), i)
-                    tokens.append(before)
-                    i = r.end()
-                    continue
-        if kind == "id" or kind == "num" or kind == "op" or kind == "string" or kind == "life":
-            word = m.group()
-            if kind == "op" and braces and word in "{}":
-                if word == "{":
-                    braces[-1] += 1
-                elif braces[-1]:
-                    braces[-1] -= 1
-                else:
-                    braces.pop()
-                    tokens.append((OP, "}$", i))
-                    i, state = template(i + 1, i + 1)
-                    before = tokens[-1]
-                    if state:
-                        break
-                    continue
-            before = ({"string": STR, "life": ID}.get(kind, kind), word, i)
-            tokens.append(before)
-            i = m.end()
-        elif kind == "line":
-            tokens.append((COMMENT, m.group(), i))
+    while i < n and not state:
+        m = None
+        for m in iter(master.scanner(text, i).match, None):
+            group = m.lastindex
+            kind, word, at = groups[group], m[group], m.start(group)
+            if kind == "id" or kind == "num" or kind == "string":
+                before = (_SIMPLE[kind], word, at)
+                tokens.append(before)
+            elif kind == "op":
+                if word in "{}" and braces or script and word[0] == "/":
+                    break
+                before = (OP, word, at)
+                tokens.append(before)
+            elif kind == "line":
+                tokens.append((COMMENT, word, at))
+            elif kind == "life":
+                before = (ID, word, at)
+                tokens.append(before)
+            elif kind != "cont":
+                break
             i = m.end()
-        elif kind == "block":
-            i, state = comment(i, i + 2, 1)
-        elif kind == "open":
-            opener = m.group()
-            if script:
-                i, state = template(i, i + 1)
-            elif language == "python":
-                i, state = string(i, m.end(), opener[-3:], True)
-            elif language == "rust":
-                raw = "r" in opener
-                i, state = string(i, m.end(), '"' + "#" * opener.count("#"), not raw)
-            else:
-                i, state = string(i, m.end(), opener, language == "java")
-            before = tokens[-1]
         else:
+            m = None
+        if m is None:
+            i = _BLANK[script].match(text, i).end()
+            if i >= n:
+                break
             c = text[i]
             errors.append((i, "string without end" if c in "'\"" else f"character {c!r}"))
             if c in "'\"":
@@ -230,8 +212,35 @@ def lex(language: str, text: str, state: State = None, first: bool = True) -> Le
                 i = end
             else:
                 i += 1
-        if state:
-            break
+        elif kind == "block":
+            i, state = comment(at, at + 2, 1)
+        elif kind == "open":
+            if script:
+                i, state = template(at, at + 1)
+            elif language == "python":
+                i, state = string(at, m.end(), word[-3:], True)
+            elif language == "rust":
+                i, state = string(at, m.end(), '"' + "#" * word.count("#"), "r" not in word)
+            else:
+                i, state = string(at, m.end(), word, language == "java")
+            before = tokens[-1]
+        elif word[0] == "/":
+            literal = None
+            if before is None or (before[0] == OP and before[1] not in (")", "]", "}", "++", "--")) or (before[0] == ID and before[1] in _BEFORE_REGEX):
+                literal = _REGEX.match(text, at)
+            before = (STR, literal.group(), at) if literal else (OP, word, at)
+            tokens.append(before)
+            i = at + len(before[1])
+        elif word == "}" and not braces[-1]:
+            braces.pop()
+            tokens.append((OP, "}$", at))
+            i, state = template(at + 1, at + 1)
+            before = tokens[-1]
+        else:
+            braces[-1] += 1 if word == "{" else -1
+            before = (OP, word, at)
+            tokens.append(before)
+            i = at + 1
     out.state = state if state else (("e", tuple(braces)) if braces else None)
     return out
 
