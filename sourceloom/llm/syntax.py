@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 import warnings
 
 from sourceloom.functions.lexing import CLOSERS, COMMENT, ID, NUM, OP, OPENERS, STR
@@ -90,7 +91,8 @@ def check_order(before: str, marks: str) -> None:
 
 
 def _line_between(text: str, a, b) -> bool:
-    return text.find("\n", a[2] + len(a[1]), b[2]) >= 0
+    end = a[2] + len(a[1])
+    return end < b[2] and text.find("\n", end, b[2]) >= 0
 
 
 def _match_brackets(code) -> dict[int, int]:
@@ -827,6 +829,12 @@ def _java_type_head(code, k: int) -> str | None:
     return None
 
 
+#: Python 3.13 has the grammar of 3.12 but for defaults of type parameters, so
+#: that texts without such parameters need no tree for the older grammar.
+_PLAIN_PARSER = sys.version_info[:2] in ((3, 12), (3, 13))
+_LATER_GRAMMAR = re.compile(r"\b(?:class|def|type)\s+\w+\s*\[|\\\r?\n\s*\[")
+
+
 def check_python(source: str) -> None:
     """Raises Bad if a piece of Python isn't whole statements of Python 3.12.
 
@@ -836,7 +844,10 @@ def check_python(source: str) -> None:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            compile(ast.parse(source, feature_version=(3, 12)), "piece", "exec", dont_inherit=True)
+            if _PLAIN_PARSER and not _LATER_GRAMMAR.search(source):
+                compile(source, "piece", "exec", dont_inherit=True)
+            else:
+                compile(ast.parse(source, feature_version=(3, 12)), "piece", "exec", dont_inherit=True)
     except (SyntaxError, ValueError) as e:
         raise Bad(str(e)[:120]) from None
     except RecursionError:
