@@ -105,7 +105,7 @@ def content_evidence(path: str, content: str | None) -> tuple[list[str], int | N
 def is_minified(text: str, code: list) -> bool:
     """Whether most code, strings aside, stands in long lines of short names
     with hardly any blanks."""
-    if len(code) < 60:
+    if len(code) < 60 or max(map(len, text.split("\n"))) < 149:
         return False
     per_line: dict[int, int] = {}
     ends, line, at = [], 0, text.find("\n")
@@ -137,7 +137,7 @@ def is_templated(code: list) -> bool:
     for k, (kind, word, _) in enumerate(code):
         if kind == ID and word[-1].isdecimal():
             stem = word.rstrip("0123456789")
-            if stem and len(word) > len(stem):
+            if stem and 0 < len(word) - len(stem) < 10:
                 at.setdefault(stem, {}).setdefault(int(word[len(stem) :]), k)
     for numbers in at.values():
         if len(numbers) < TEMPLATE_REPEATS:
@@ -161,18 +161,28 @@ def is_data(text: str, code: list) -> bool:
         return False
     visible = literal = elements = encoded = 0
     depth = 0
-    for k, (kind, word, _) in enumerate(code):
-        n = len("".join(word.split()))
-        visible += n
+    for kind, word, _ in code:
         if kind == OP:
-            depth += (word in OPENERS) - (word in CLOSERS)
-            if depth and word in (",", "-", ":"):
+            visible += len(word)
+            if word in OPENERS:
+                depth += 1
+            elif word in CLOSERS:
+                depth -= 1
+            elif depth and word in (",", "-", ":"):
                 literal += 1
-        elif kind == NUM and depth > 0 or kind == STR and depth > 0 and len(word) > 2:
-            literal += n
-            elements += 1
-        elif kind == STR and n >= 200 and n >= 0.97 * len(word):
-            encoded += n
+        elif kind == STR:
+            n = len("".join(word.split()))
+            visible += n
+            if depth > 0 and len(word) > 2:
+                literal += n
+                elements += 1
+            elif n >= 200 and n >= 0.97 * len(word):
+                encoded += n
+        else:
+            visible += len(word)
+            if kind == NUM and depth > 0:
+                literal += len(word)
+                elements += 1
     return elements >= 24 and literal >= 0.85 * visible or encoded >= 0.85 * visible and encoded >= 400
 
 
