@@ -95,9 +95,11 @@ HYBRID_QUERY = "conflict harvest parse pending_budget snapshot"
 
 
 def _name_windows(spark, sf_dir):
-    """Symbols by the tokens of their names' last parts, so that query words,
-    which are split, can meet them."""
-    return symbol_windows(_windows(spark, sf_dir), _symbols(spark, sf_dir).withColumn("name", F.regexp_extract("name", r"([A-Za-z]+)$", 1)).where("name <> ''"))
+    """Symbols by their names, and by the last words of those that have several,
+    so that query words, which are split, can meet them too."""
+    last = F.regexp_extract("name", r"([A-Z]?[a-z]+|[A-Z]+)[\d_]*$", 1)
+    named = _symbols(spark, sf_dir).withColumn("name", F.explode(F.array_distinct(F.array("name", F.when(last == "", F.col("name")).otherwise(last)))))
+    return symbol_windows(_windows(spark, sf_dir), named)
 
 
 def hybrid_search(spark, sf_dir):
@@ -194,7 +196,7 @@ top AS (SELECT * FROM rk WHERE rank <= {top})"""
 
 
 _SYMBOLS_SQL = "sy AS (SELECT DISTINCT project, path, ord, parent_ord, name, line FROM symbols)"
-_NAMES_SQL = r"""nm AS (SELECT project, path, regexp_extract(name, '([A-Za-z]+)$', 1) AS name, line FROM sy WHERE regexp_extract(name, '([A-Za-z]+)$', 1) <> ''),
+_NAMES_SQL = r"""nm AS (SELECT project, path, name, line FROM sy UNION SELECT project, path, regexp_extract(name, '([A-Z]?[a-z]+|[A-Z]+)[\d_]*$', 1), line FROM sy WHERE regexp_matches(name, '([A-Z]?[a-z]+|[A-Z]+)[\d_]*$')),
 sw AS (SELECT DISTINCT win.project, doc_key, lower(name) AS name_lower FROM win JOIN nm ON nm.project = win.project AND nm.path = win.path AND line BETWEEN start_line AND end_line)"""
 
 _HYBRID_WORDS = ["conflict", "harvest", "parse", "pending", "budget", "snapshot"]
