@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.functions.text import lines
+from sourceloom.session import durable
 
 #: Sections that always count, and keys that are no sections.
 RESERVED_SECTIONS = {"backend": "backend", "frontend": "frontend"}
@@ -107,15 +108,30 @@ def sections(specs: DataFrame, projects: DataFrame | None = None) -> DataFrame:
 _API = "array<struct<method:string,path:string,has_body:boolean>>"
 
 
-def _stripped_lines(content: Column) -> Column:
-    return F.transform(lines(content), lambda x: F.struct(x.alias("raw"), _strip(x).alias("s")))
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def _inside(acc, x, section: Column):
-    """(opens the section here, is inside it)."""
-    opens = x["s"] == F.concat(section, F.lit(":"))
-    closes = acc["inside"] & ~x["raw"].startswith(" ") & (x["s"] != "") & F.contains(x["s"], F.lit(":"))
-    return opens, ~opens & acc["inside"] & ~closes
+def _stripped_lines(content: Column, *more) -> Column:
+    """Lines as structs of ``raw``, ``s`` (stripped), ``heads`` (a testing
+    key) and what more gives from raw and s."""
+
+    def parts(raw):
+        s = _strip(raw)
+        return _let(s, lambda s: F.struct(raw.alias("raw"), s.alias("s"), (s.startswith("testing:") | s.startswith("test:")).alias("heads"), *[f(raw, s) for f in more]))
+
+    return F.transform(lines(content), parts)
+
+
+def _opens(raw, s) -> Column:
+    """Whether a line opens the row's section."""
+    return (s == F.concat(F.col("section"), F.lit(":"))).alias("opens")
+
+
+def _leaves(raw, s) -> Column:
+    """Whether a line at the margin ends any section."""
+    return (~raw.startswith(" ") & (s != "") & F.contains(s, F.lit(":"))).alias("leaves")
 
 
 def spec_apis(specs: DataFrame, section_table: DataFrame) -> DataFrame:
@@ -123,29 +139,40 @@ def spec_apis(specs: DataFrame, section_table: DataFrame) -> DataFrame:
     method and a path, which end at a blank line, at the next ``- id:`` or with
     the section's text, and bullets that begin with a verb and a path."""
     bullet = r"(?U)^\s*-\s*(GET|POST|PUT|DELETE|PATCH)\s+(/\S+)"
-    start = F.struct(F.lit(False).alias("inside"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("path"), F.lit(False).alias("body"), F.array().cast(_API).alias("out"))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(False).alias("inside"), none.alias("method"), none.alias("path"), F.lit(False).alias("body"), F.array().cast(_API).alias("out"))
+    more = (
+        _opens, _leaves,
+        lambda raw, s: F.when(F.contains(s, F.lit("method:")), _after_colon(s)).alias("method"),
+        lambda raw, s: F.when(F.contains(s, F.lit("path:")), F.regexp_replace(_after_colon(s), "^['\"]+|['\"]+$", "")).alias("path"),
+        lambda raw, s: (F.contains(s, F.lit("body:")) | F.contains(s, F.lit("request:"))).alias("body"),
+        lambda raw, s: F.when(s.rlike(bullet), _api(F.regexp_extract(s, bullet, 1), F.regexp_extract(s, bullet, 2), F.lit(False))).alias("bullet"),
+        lambda raw, s: ((s == "") | s.startswith("- id:")).alias("ends"),
+    )
+
+    def is_whole(v):
+        return F.coalesce((v["method"] != "") & (v["path"] != ""), F.lit(False))
+
+    def read(acc, x):
+        """What is open once a line inside the section is read."""
+        out = F.when(x["bullet"].isNotNull(), F.concat(acc["out"], F.array(x["bullet"]))).otherwise(acc["out"])
+        return F.struct(F.coalesce(x["method"], acc["method"]).alias("method"), F.coalesce(x["path"], acc["path"]).alias("path"), (acc["body"] | x["body"]).alias("body"), out.alias("out"))
+
+    def close(v, x):
+        """What is open after it."""
+        shut = F.struct(F.lit(True).alias("inside"), none.alias("method"), none.alias("path"), F.lit(False).alias("body"), F.concat(v["out"], F.array(_api(v["method"], v["path"], v["body"]))).alias("out"))
+        return F.when(x["ends"] & is_whole(v), shut).otherwise(F.struct(F.lit(True).alias("inside"), v["method"].alias("method"), v["path"].alias("path"), v["body"].alias("body"), v["out"].alias("out")))
 
     def step(acc, x):
-        opens, inside = _inside(acc, x, F.col("section"))
-        s = x["s"]
-        method = F.when(inside & F.contains(s, F.lit("method:")), _after_colon(s)).otherwise(acc["method"])
-        path = F.when(inside & F.contains(s, F.lit("path:")), F.regexp_replace(_after_colon(s), "^['\"]+|['\"]+$", "")).otherwise(acc["path"])
-        body = acc["body"] | inside & (F.contains(s, F.lit("body:")) | F.contains(s, F.lit("request:")))
-        out = F.when(inside & s.rlike(bullet), F.concat(acc["out"], F.array(_api(F.regexp_extract(s, bullet, 1), F.regexp_extract(s, bullet, 2), F.lit(False))))).otherwise(acc["out"])
-        whole = F.coalesce(method != "", F.lit(False)) & F.coalesce(path != "", F.lit(False))
-        ends = inside & whole & ((s == "") | s.startswith("- id:"))
-        none = F.lit(None).cast("string")
-        return F.struct(
-            (opens | inside).alias("inside"), F.when(ends, none).otherwise(method).alias("method"), F.when(ends, none).otherwise(path).alias("path"), (~ends & body).alias("body"),
-            F.when(ends, F.concat(out, F.array(_api(method, path, body)))).otherwise(out).alias("out"),
-        )
+        inside = ~x["opens"] & acc["inside"] & ~x["leaves"]
+        outside = F.struct(x["opens"].alias("inside"), acc["method"].alias("method"), acc["path"].alias("path"), acc["body"].alias("body"), acc["out"].alias("out"))
+        return F.when(inside, _let(read(acc, x), lambda v: close(v, x))).otherwise(outside)
 
     def finish(acc):
-        whole = F.coalesce(acc["method"] != "", F.lit(False)) & F.coalesce(acc["path"] != "", F.lit(False))
-        return F.when(whole, F.concat(acc["out"], F.array(_api(acc["method"], acc["path"], acc["body"])))).otherwise(acc["out"])
+        return F.when(is_whole(acc), F.concat(acc["out"], F.array(_api(acc["method"], acc["path"], acc["body"])))).otherwise(acc["out"])
 
     joined = section_table.select("spec_id", "section", "type").join(specs.select("spec_id", "content"), "spec_id")
-    found = joined.withColumn("apis", F.aggregate(_stripped_lines(F.col("content")), start, step, finish))
+    found = joined.withColumn("apis", F.aggregate(_stripped_lines(F.col("content"), *more), start, step, finish))
     return found.select("spec_id", "section", "type", F.posexplode("apis").alias("api_ord", "a")).select("spec_id", "section", "type", "api_ord", "a.*")
 
 
@@ -157,17 +184,16 @@ def test_cases(specs: DataFrame, section_table: DataFrame) -> DataFrame:
     """(spec_id, section, type, case_ord, case): bullets below a section's
     testing key."""
     start = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("testing"), F.array().cast("array<string>").alias("out"))
+    case = lambda raw, s: F.when(s.startswith("- "), _strip(F.substring(s, 3, 1 << 30))).alias("case")
 
     def step(acc, x):
-        opens, inside = _inside(acc, x, F.col("section"))
-        s = x["s"]
-        heads = inside & (s.startswith("testing:") | s.startswith("test:"))
-        testing = F.when(opens, acc["testing"]).otherwise(inside & (acc["testing"] | heads))
-        takes = inside & ~heads & acc["testing"] & s.startswith("- ")
-        return F.struct((opens | inside).alias("inside"), testing.alias("testing"), F.when(takes, F.concat(acc["out"], F.array(_strip(F.substring(s, 3, 1 << 30))))).otherwise(acc["out"]).alias("out"))
+        inside = ~x["opens"] & acc["inside"] & ~x["leaves"]
+        testing = F.when(x["opens"], acc["testing"]).otherwise(inside & (acc["testing"] | x["heads"]))
+        takes = inside & ~x["heads"] & acc["testing"] & x["case"].isNotNull()
+        return F.struct((x["opens"] | inside).alias("inside"), testing.alias("testing"), F.when(takes, F.concat(acc["out"], F.array(x["case"]))).otherwise(acc["out"]).alias("out"))
 
     joined = section_table.select("spec_id", "section", "type").join(specs.select("spec_id", "content"), "spec_id")
-    found = joined.withColumn("cases", F.aggregate(_stripped_lines(F.col("content")), start, step, lambda acc: acc["out"]))
+    found = joined.withColumn("cases", F.aggregate(_stripped_lines(F.col("content"), _opens, _leaves, case), start, step, lambda acc: acc["out"]))
     return found.select("spec_id", "section", "type", F.posexplode("cases").alias("case_ord", "case"))
 
 
@@ -205,7 +231,7 @@ def validate_specs(specs: DataFrame, projects: DataFrame | None = None, files: D
     missing = needed.join(keys, ["spec_id", "key"], "left_anti")
     out = missing.select("spec_id", F.lit(1).alias("part"), "ord", F.lit("error").alias("level"), F.concat(F.lit("Missing required field: "), F.col("key")).alias("message"), F.lit("top-level").alias("location"))
     table = sections(specs, projects)
-    apis = spec_apis(specs, table)
+    apis = durable(spec_apis(specs, table))
     bare = apis.where((F.col("type") == "backend") & F.col("method").isin("POST", "PUT", "PATCH") & ~F.col("has_body"))
     out = out.unionByName(bare.select("spec_id", F.lit(2).alias("part"), F.col("api_ord").alias("ord"), F.lit("warning").alias("level"), F.concat("method", F.lit(" "), "path", F.lit(" has no request body fields defined")).alias("message"), F.concat("section", F.lit(".api")).alias("location")))
     alike = F.regexp_replace("path", r"\{[^}]+\}", "{}")
@@ -229,10 +255,9 @@ def _n_test_lines(content: Column) -> Column:
     start = F.struct(F.lit(False).alias("on"), F.lit(0).alias("n"))
 
     def step(acc, x):
-        heads = x["s"].startswith("testing:") | x["s"].startswith("test:")
-        takes = ~heads & acc["on"] & x["s"].startswith("- ")
+        takes = ~x["heads"] & acc["on"] & x["s"].startswith("- ")
         ends = acc["on"] & ~takes & (x["s"] != "") & ~x["s"].startswith("#") & ~x["raw"].startswith(" ")
-        return F.struct((heads | acc["on"] & ~ends).alias("on"), (acc["n"] + takes.cast("int")).alias("n"))
+        return F.struct((x["heads"] | acc["on"] & ~ends).alias("on"), (acc["n"] + takes.cast("int")).alias("n"))
 
     return F.aggregate(_stripped_lines(content), start, step, lambda acc: acc["n"])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sourceloom.plans import references, retrieval, scans
+from sourceloom.plans import references, retrieval, scans, written
 
-_MODULES = (references, retrieval, scans)
+_MODULES = (references, retrieval, scans, written)
 
 
 def queries() -> dict:

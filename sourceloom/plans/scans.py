@@ -8,7 +8,6 @@ from sourceloom.extract import frameworks as fw
 from sourceloom.extract.analysis import COMPOSE_WORDS, parse_env
 from sourceloom.extract.symbols import imports_of, scan_files, symbols_of
 from sourceloom.functions.text import lines
-from sourceloom.operators import spec
 from sourceloom.operators.freshness import unmentioned_dirs, unmentioned_models, unmentioned_routes
 from sourceloom.operators.mapviews import file_details, file_json, file_summaries, focused_pieces, module_key_files, module_rollup, module_texts, object_texts, scan_totals
 from sourceloom.operators.traces import summarise
@@ -200,49 +199,6 @@ def event_sessions(spark, sf_dir):
     return out.select("user_id", F.unix_seconds("session.start").alias("start_s"), "n", F.round("total", 4).alias("total"))
 
 
-_SPECS = [
-    ("login", "id: login\ntitle: \"Sign in\"\nstatus: approved\nbackend:\n  api:\n    - id: a1\n      method: POST\n      path: /auth/login\n      body:\n        name: str\n    - id: a2\n      method: GET\n      path: /auth/{id}\n  testing:\n    - POST rejects a wrong password\n    - expired sessions end\nfrontend:\n  calls:\n    - GET /auth/{user}\n    - GET /nowhere\n  testing:\n    - shows the form\n"),
-    ("export", "title: Export\nstatus: draft\nbackend:\n  api:\n    - method: PUT\n      path: '/export'\n\n"),
-    ("empty", ""),
-]
-
-
-def _specs(spark):
-    return spark.createDataFrame([(i, f"specs/{i}.yaml", c) for i, c in _SPECS], "spec_id string, file string, content string")
-
-
-def spec_headers(spark, sf_dir):
-    return spec.list_specs(_specs(spark))
-
-
-def spec_sections(spark, sf_dir):
-    return spec.sections(_specs(spark)).select("spec_id", "section", "type")
-
-
-def spec_apis(spark, sf_dir):
-    s = _specs(spark)
-    return spec.spec_apis(s, spec.sections(s))
-
-
-def spec_cases(spark, sf_dir):
-    s = _specs(spark)
-    return spec.test_cases(s, spec.sections(s))
-
-
-def spec_issues(spark, sf_dir):
-    return spec.validate_specs(_specs(spark))
-
-
-def spec_summary(spark, sf_dir):
-    s = _specs(spark)
-    return spec.validation_summary(s, spec.validate_specs(s))
-
-
-def spec_skeletons(spark, sf_dir):
-    return spec.test_skeletons(_specs(spark))
-
-
-_SPEC_VALUES = "specs AS (SELECT * FROM (VALUES " + ", ".join("('{}', 'specs/{}.yaml', '{}')".format(i, i, c.replace("'", "''")) for i, c in _SPECS) + ") AS v(spec_id, file, content))"
 _LN = _sql_lines("content")
 _SCAN_SQL = """
 fl AS (SELECT DISTINCT * FROM files),
@@ -259,7 +215,6 @@ def _line_sql(extensions: str) -> str:
 
 _CONTEXT_SQL = "cx AS (SELECT source AS project, arg_min(text, doc_id) AS doc FROM documents WHERE path LIKE 'docs/%' AND text IS NOT NULL GROUP BY 1)"
 _LIVE_SQL = rf"lv AS (SELECT project, doc FROM cx WHERE len(list_filter({_sql_lines('doc')}, lambda s: NOT (trim(s) = '' OR starts_with(trim(s), '#') OR (starts_with(trim(s), '<!--') AND ends_with(trim(s), '-->'))))) > 0)"
-_HEAD = "regexp_replace(regexp_replace(trim(coalesce(list_filter({ls}[1:20], lambda s: starts_with(s, '{k}:'))[-1], '{k}:')[{n}:]), '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g') AS {k}"
 
 QUERIES = {
     "module_rollup": module_summary, "module_top_files": module_top_files, "modules_view": modules_view, "focus_others": focus_others, "focused_map": focused_view,
@@ -267,8 +222,7 @@ QUERIES = {
     "fastapi_routes": py_routes, "fastapi_models": py_models, "fastapi_model_fields": py_model_fields, "django_routes": django_urls, "express_routes": js_routes, "express_models": ts_models,
     "express_model_fields": ts_model_fields, "react_calls": js_calls, "react_components": component_table, "brace_depth": brace_depth, "env_lines": env_lines, "keyword_infra": keyword_infra,
     "route_freshness": route_freshness, "dir_freshness": dir_freshness, "model_freshness": model_freshness, "path_alignment": path_alignment, "render_routes": render_routes, "render_env_vars": render_env,
-    "trace_summary": trace_summary, "verify_rollup": verify_rollup, "event_sessions": event_sessions, "spec_headers": spec_headers, "spec_sections": spec_sections, "spec_apis": spec_apis,
-    "spec_test_cases": spec_cases, "spec_issues": spec_issues, "spec_summary": spec_summary, "spec_skeletons": spec_skeletons,
+    "trace_summary": trace_summary, "verify_rollup": verify_rollup, "event_sessions": event_sessions,
 }
 
 ORACLES = {
@@ -324,10 +278,4 @@ SELECT event_type, count(*) AS total_runs, sum(i)::BIGINT AS total_input_tokens,
     "event_sessions": """WITH e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e)
 SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_s, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, sid""",
-    "spec_headers": f"WITH {_SPEC_VALUES} SELECT spec_id, CASE WHEN len(list_filter({_LN}[1:20], lambda s: starts_with(s, 'id:'))) > 0 THEN id0 ELSE spec_id END AS id, title, status, description, file FROM (SELECT *, "
-    + ", ".join(_HEAD.format(ls=_LN, k=k, n=len(k) + 2) for k in ("title", "status", "description"))
-    + ", "
-    + _HEAD.format(ls=_LN, k="id", n=4).replace("AS id", "AS id0")
-    + " FROM specs)",
-    "spec_sections": f"WITH {_SPEC_VALUES}, x AS (SELECT spec_id, unnest({_LN}) AS s FROM specs) SELECT DISTINCT spec_id, trim(string_split(s, ':')[1]) AS section, trim(string_split(s, ':')[1]) AS type FROM x WHERE NOT starts_with(s, ' ') AND trim(string_split(s, ':')[1]) IN ('backend', 'frontend')",
 }
