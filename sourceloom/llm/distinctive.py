@@ -21,38 +21,31 @@ HEAVY_ONE_IN = 5000
 #: Rows of the heavy side up to which it is broadcast.
 HEAVY_ROWS = 20_000
 
+#: Records that occur more than once up to which they are broadcast.
+REPEAT_ROWS = 200_000
 
-def _runs(terms):
-    """Distinct terms of an array with their counts, by the runs of the sorted
-    array: ``term`` and ``tf``."""
-    cleaned = F.filter(F.transform(terms, lambda t: F.lower(F.trim(t))), lambda t: t != "")
 
-    def counted(x):
-        return F.transform(x["starts"], lambda at, k: F.struct(F.get(x["sorted"], at).alias("term"), (F.coalesce(F.get(x["starts"], k + 1), F.size(x["sorted"])) - at).cast("bigint").alias("tf")))
+def record_repeats(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """How often each distinct record occurs: ``record``, ``__row``, ``times``."""
+    return df.select(F.col(id_col).alias("record"), _row_key(fields).alias("__row")).groupBy("record", "__row").agg(F.count(F.lit(1)).alias("times"))
 
-    def started(ordered):
-        first = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-        return F.struct(ordered.alias("sorted"), F.when(F.size(ordered) > 0, first).otherwise(F.array().cast("array<int>")).alias("starts"))
 
-    return _let(F.array_sort(cleaned), lambda ordered: _let(started(ordered), counted))
-
-
-def _let(value, body):
-    """body of a value that is worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def record_terms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+def record_terms(df: DataFrame, id_col: str, fields: list[str], repeats: DataFrame) -> DataFrame:
     """Frequency ``tf`` of each term in each distinct record and field.
 
-    Terms are lower-cased and trimmed; null and empty ones don't count. Terms
-    are counted within their record, and repeats of a record are dropped from
-    the counts, so that no contents are shuffled.
+    Terms are lower-cased and trimmed; null and empty ones don't count. All
+    rows are counted and the counts of repeated records divided by how often
+    these occur, so that no contents are shuffled to find repeats.
     """
     records = df.select(F.col(id_col).alias("record"), *fields).withColumn("__row", _row_key(fields))
-    per_field = F.array(*[F.struct(F.lit(c).alias("field"), _runs(F.col(c).cast("array<string>")).alias("terms")) for c in fields])
-    exploded = records.select("record", "__row", F.explode(per_field).alias("f")).select("record", "__row", "f.field", F.explode("f.terms").alias("t"))
-    return exploded.select("record", "__row", "field", "t.term", "t.tf").distinct()
+    per_field = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("array<string>").alias("terms")) for c in fields])
+    exploded = records.select("record", "__row", F.explode(per_field).alias("f")).select("record", "__row", "f.field", F.explode("f.terms").alias("term"))
+    cleaned = exploded.withColumn("term", F.lower(F.trim("term"))).where(F.col("term").isNotNull() & (F.col("term") != ""))
+    counted = cleaned.groupBy("record", "__row", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    several = repeats.where("times > 1").select(F.col("record").alias("r"), F.col("__row").alias("k"), "times")
+    several = F.broadcast(several) if under(several, REPEAT_ROWS) else several
+    joined = counted.join(several, F.col("record").eqNullSafe(F.col("r")) & (F.col("__row") == F.col("k")), "left")
+    return joined.select("record", "__row", "field", "term", F.expr("tf DIV coalesce(times, 1)").alias("tf"))
 
 
 def _row_key(fields: list[str]):
@@ -74,8 +67,9 @@ def term_scores(df: DataFrame, id_col: str = "chunk_id", fields: tuple[str, ...]
     other terms are shuffled by term, of which none has more than a small share.
     """
     fields = list(fields)
-    terms = durable(record_terms(df, id_col, fields))
-    n = df.select(id_col, _row_key(fields).alias("__row")).distinct().count()
+    repeats = durable(record_repeats(df, id_col, fields))
+    n = repeats.count()
+    terms = durable(record_terms(df, id_col, fields, repeats))
     stats = terms.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     observed = -F.log2(F.col("df") / F.lit(float(max(n, 1))))
     expected = -F.log2(-F.expm1(-F.col("cf") / F.lit(float(max(n, 1)))))
