@@ -39,7 +39,7 @@ _GENERATED_NOTICE = re.compile(
     re.I | re.X,
 )
 _MADE_NOTICE = re.compile(
-    r"""^\W*(?:(?:this|the)\s+(?:file|code|class|module|source|package)\s+(?:is|was|has\s+been)\s+)?(?:(?:automatically|machine)[-\s]+)?(?:produced|created|emitted|written|compiled|built|rendered|generated|exported|assembled|output)\s+(?:by|from|with|using)\s+[\w./@-]+.*
+    r"""^\W*(?:(?:this|the)\s+(?:file|code|class|module|source|package)\s+(?:is|was|has\s+been)\s+)?(?:(?:automatically|machine)[-\s]+)?(?:produced|created|emitted|written|compiled|built|rendered|generated|exported|assembled|output)\s+(?:by|from|with|using)\s+(?!hand\b|humans?\b|us\b|me\b)[\w./@-]+.*
     \b(?:(?:changes|edits|modifications)\b.*\b(?:lost|overwritten|discarded|replaced|reverted)|(?:do\s+not|don't|never)\s+(?:edit|modify|change|touch)|(?:edit|change|modify)\b.*\binstead)\b""",
     re.I | re.X,
 )

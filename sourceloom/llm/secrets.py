@@ -33,9 +33,10 @@ KEY_OWNERS = set("api access private signing secret encryption encrypt auth acco
 ABOUT_WORDS = set("name names header headers length len min max minimum maximum limit limits budget budgets count counts ttl timeout path paths file files dir folder url uri endpoint host port type types policy prompt label field fields hint enabled required rotation expiry expires expiration age version format prefix suffix space size usage ref reference arn store provider kind class scheme hash hashes algorithm alg digest checksum bits days hours minutes seconds rate window bucket queue topic index column table user username email env var variable mode style count regex pattern template rules strength attempts retries".split())
 PUBLIC_WORDS = set("public pub hash sha sha1 sha256 sha512 md5 checksum digest etag fingerprint integrity uuid guid".split())
 
-#: Pairs of letters that hardly any English word has.
-UNHEARD_PAIRS = set("""bk bq bx cb cf cg cj cp cv cw cx dx fk fq fv fx fz gq gv gx hk hv hx hz iy jb jc jd jf jg jh jj jk jl jm jn jp jq jr js jt jv jw jx jy jz kq kv kx kz lq lx mg mj mq mx mz
-    pq pv px qb qc qd qf qg qh qj qk ql qm qn qp qq qs qt qv qw qx qy qz sx sz tq tx vb vc vd vf vh vj vk vm vn vp vq vt vw vx vz wq wv wx wz xb xg xj xk xq xv xz yq yv yz zb zc zg zh zj zn zq zr zs zx""".split())
+#: Pairs of letters that hardly any English word has, without
+#: those that common abbreviations have.
+UNHEARD_PAIRS = set("""bk bq bx cb cf cg cj cp cv cw cx dx fk fq fv fz gq gv gx hk hv hx hz iy jc jf jg jh jj jk jl jm jn jr jt jx jy jz kq kx kz lq lx mg mj mx mz
+    pq pv qb qc qd qf qg qh qj qk ql qm qn qq qv qw qx qy qz tq vd vf vh vj vk vn vq vt vw vz wq wv wz xb xg xj xk xq xz yq yv zb zc zg zh zj zq zr zs zx""".split())
 
 #: Consonants of words for credentials, which misspelt names keep.
 _SKELETONS = set("psswrd psswd scrt crdntl crdntls pssphrs".split())

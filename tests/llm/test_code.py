@@ -140,7 +140,7 @@ def test_code_from_templates_and_notices_in_other_words():
     assert content_evidence("a.py", own)[0] == [] and content_evidence("a.py", few)[0] == [] and content_evidence("a.py", few + GOOD["python"] * 9)[0] == []
     assert content_evidence("a.go", "// This file was produced by tool from a.idl; changes will be lost.\npackage p\n")[0] == ["generated"]
     assert content_evidence("a.py", "# Machine-generated by x/y. Edit the template instead.\nx = 1\n")[0] == ["generated"]
-    assert content_evidence("a.py", "# The report is written by tool; see the docs.\n# Changes will be lost if you don't save.\nx = 1\n")[0] == []
+    assert content_evidence("a.py", "# Written by hand; do not edit the order.\n# The report is written by tool; see the docs.\n# Changes will be lost if you don't save.\nx = 1\n")[0] == []
 
 
 def test_not_handwritten(spark):

@@ -92,5 +92,5 @@ def test_gate_changes_nothing(parts):
 def test_values_of_letters_and_leading_signs():
     for text in ('apiKey = "DdmpLjWOEOX"', "ANCHOR_TOKEN=AQXARKUZORFBWTEIFBPC", 'PASSWD = "/gJ1hRssYN1kGOczs+z3ntOuAwkgk6S6s1LCsb8/"', "tool --password=-YW96qJDUfjRj6 --port 57", "x = 'nvk_live_kfaeWbckOvdNqzAUgTNXprmILKJJ'", "db://shard:IsudzrzOYL@host/x"):
         assert len(find_credentials(text)) == 1, text
-    for text in ('apiKey = "loadApiKeyFirst"', "ANCHOR_TOKEN=/run/secrets/anchor_token", 'PASSWD = "/etc/ssl/private/Server2024.key"', "tool --password -p 57", "x = 'load_live_kept_requests_first'", "db://shard:password@host/x", 'token_kind = "HttpUrlToken"'):
+    for text in ('apiKey = "loadApiKeyFirst"', "ANCHOR_TOKEN=/run/secrets/anchor_token", 'PASSWD = "/etc/ssl/private/Server2024.key"', "tool --password -p 57", "x = 'load_live_kept_requests_first'", "db://shard:password@host/x", 'apiKey = "mqttBrokerName"', 'auth = "useCtxHandler"', 'token_kind = "HttpUrlToken"'):
         assert find_credentials(text) == [], text
