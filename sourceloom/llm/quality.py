@@ -1,13 +1,13 @@
 """Per-document text quality statistics.
 
-Each statistic is summed up per language in a mergeable quantile sketch (KLL).
-The sketches give, per language, where ordinary prose lies: documents are
-compared with the upper part of the distribution of a statistic that is high in
-prose, or the lower part of one that is low, so that tables and code, even if
-they are many, hardly move the reference. Distances become robust z-scores, and
-documents in the tails are flagged. The flags inform only: an exact count of
-the characters that stand inside sentences decides about each document by
-itself, whatever the other documents of its language are.
+An exact count of the characters that stand inside sentences tells of each
+document by itself whether it can be prose, whatever the others of its language
+are. Each statistic of those that can is summed up per language in a mergeable
+quantile sketch (KLL), so that tables and code, even if they are many, don't
+move the reference. Distances from there become robust z-scores, and documents
+in the tails are flagged. Where the words of a document are far out, both by
+how few are common and by how few of their letters are vowels, it isn't prose
+either: junk letters meet short common words by chance and so pass as sentences.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +31,16 @@ MOST_COMMON_WORDS = 50_000
 #: Robust z-score from which a value is in a tail.
 TAIL = 2.0
 
+#: Robust z-score from which the words of a text aren't those of prose.
+FAR = 3.0
+
+#: Statistics that tell so if all of them are far out; one alone may be in
+#: prose, as in a short sentence with few common words.
+OF_WORDS = ("common_share", "vowel_share")
+
+#: Size of the sketches; below that many documents of a language they are exact.
+SKETCH_SIZE = 4_096
+
 #: Share of visible characters inside sentences below which a text isn't prose.
 PROSE_SHARE = 0.5
 
@@ -37,6 +49,7 @@ PROSE_SHARE = 0.5
 TAILS = {
     "sentence_share": ("high", 0.08), "common_share": ("high", 0.04), "symbol_share": ("low", 0.02),
     "digit_share": ("low", 0.02), "punct_line_share": ("high", 0.2), "mean_word_chars": ("low", 0.5),
+    "vowel_share": ("high", 0.025),
 }
 
 #: Spellings of language tags.
@@ -47,6 +60,7 @@ _WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:['’][^\W\d_]++)*(?!\w)")
 _ASCII_WORD = re.compile(r"\b[A-Za-z]++(?:'[A-Za-z]++)*\b(?!_)", re.ASCII)
 _BLANKS, _ASCII_DIGITS = b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", b"0123456789"
 _ASCII_ALNUM = _ASCII_DIGITS + bytes(range(65, 91)) + bytes(range(97, 123))
+_ASCII_VOWELS, _VOWEL = b"aeiouyAEIOUY", re.compile(r"[aeiouyàáâãäåæąèéêëęìíîïıòóôõöøőœùúûüůűýÿ]")
 _RARE_END = re.compile(r"[\r\x0b\x0c]")
 _LINE_END = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _CJK = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
@@ -178,9 +192,11 @@ def text_statistics(text: str, words: Words) -> dict:
         plain = text.encode()
         digits = len(plain) - len(plain.translate(None, _ASCII_DIGITS))
         symbols = visible - (len(plain) - len(plain.translate(None, _ASCII_ALNUM)))
+        vowels = len(plain) - len(plain.translate(None, _ASCII_VOWELS))
     else:
         digits = len(_DIGIT.findall(text))
         symbols = visible - len(_NO_ALNUM.sub("", text))
+        vowels = len(_VOWEL.findall(low))
     hits = sum(counts[w] for w in words.by.get(language or "", ()) if w in counts)
     return {
         "language": language,
@@ -192,11 +208,12 @@ def text_statistics(text: str, words: Words) -> dict:
         "punct_line_share": ended / max(n_full, 1),
         "common_share": words.cjk_chars(text) / cjk if language in words.cjk_languages and cjk else (hits / n_words if n_words else 0.0),
         "distinct_word_share": len(counts) / n_words if n_words else 0.0,
+        "vowel_share": vowels / max(visible - symbols - digits, 1),
         "sentence_share": inside / visible,
     }
 
 
-_FIELDS = "language string, n_lines int, n_words int, mean_word_chars double, symbol_share double, digit_share double, punct_line_share double, common_share double, distinct_word_share double, sentence_share double"
+_FIELDS = "language string, n_lines int, n_words int, mean_word_chars double, symbol_share double, digit_share double, punct_line_share double, common_share double, distinct_word_share double, vowel_share double, sentence_share double"
 
 
 def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -238,36 +255,40 @@ def language_references(stats: DataFrame) -> DataFrame:
     """Per language, of each statistic in TAILS the place of prose and its
     spread, from KLL sketches: ``NAME_at`` and ``NAME_spread``.
 
-    The place is the upper (or lower) quartile, the spread the distance from
-    there to the outer decile, brought to a standard deviation."""
-    known = stats.where("has_text").withColumn("group", F.coalesce("language", "recorded", F.lit("")))
-    sketched = known.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(c).alias(c) for c in TAILS])
+    Only documents that pass the sentence test count. The place is their
+    median, the spread the distance between their quartiles, brought to a
+    standard deviation. A language without such documents has no row."""
+    known = stats.where(F.col("has_text") & (F.col("sentence_share") >= PROSE_SHARE)).withColumn("group", F.coalesce("language", "recorded", F.lit("")))
+    sketched = known.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(c, SKETCH_SIZE).alias(c) for c in TAILS])
     out = [F.col("group"), F.col("n")]
-    for c, (side, least) in TAILS.items():
-        near, far = (0.75, 0.9) if side == "high" else (0.25, 0.1)
-        at = F.kll_sketch_get_quantile_double(F.col(c), F.lit(near))
-        spread_ = F.abs(F.kll_sketch_get_quantile_double(F.col(c), F.lit(far)) - at) / 0.607
-        out += [at.alias(f"{c}_at"), F.greatest(spread_, F.lit(least)).alias(f"{c}_spread")]
+    for c, (_, least) in TAILS.items():
+        low, at, high = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(x)) for x in (0.25, 0.5, 0.75))
+        out += [at.alias(f"{c}_at"), F.greatest((high - low) / 1.349, F.lit(least)).alias(f"{c}_spread")]
     return sketched.select(*out)
 
 
 def tail_flags(stats: DataFrame) -> DataFrame:
     """Adds to each document with text ``NAME_z``, robust z-scores that are
-    positive away from prose, and ``in_tail``. The references have one row per
-    language; documents meet them by a join on it."""
+    positive away from prose, ``in_tail`` and ``odd_words``, which is true where
+    all statistics in OF_WORDS are far out. The references have one row per
+    language; documents meet them by a join on it. Where a language has none,
+    z-scores are null and no statistic is in a tail."""
     known = stats.where("has_text").withColumn("group", F.coalesce("language", "recorded", F.lit("")))
     every = language_references(stats)
-    joined = known.join(F.broadcast(every) if under(every, 10_000) else every, "group")
+    joined = known.join(F.broadcast(every) if under(every, 10_000) else every, "group", "left")
     z = {c: (F.col(f"{c}_at") - F.col(c) if side == "high" else F.col(c) - F.col(f"{c}_at")) / F.col(f"{c}_spread") for c, (side, _) in TAILS.items()}
     joined = joined.withColumns({f"{c}_z": x for c, x in z.items()})
-    low = (F.col("language").isNull()) | F.greatest(*[F.col(f"{c}_z") for c in TAILS]).__ge__(TAIL)
-    return joined.withColumn("in_tail", low).drop("group", "n", *[f"{c}_{x}" for c in TAILS for x in ("at", "spread")])
+    low = F.col("language").isNull() | F.coalesce(F.greatest(*[F.col(f"{c}_z") for c in TAILS]) >= TAIL, F.lit(False))
+    odd = F.coalesce(reduce(and_, [F.col(f"{c}_z") >= FAR for c in OF_WORDS]), F.lit(False))
+    return joined.withColumns({"in_tail": low, "odd_words": odd}).drop("group", "n", *[f"{c}_{x}" for c in TAILS for x in ("at", "spread")])
 
 
 def not_prose(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Documents with a visible character whose text isn't natural prose: those
-    of which less than PROSE_SHARE of the visible characters stand inside
-    sentences, with their z-scores and ``in_tail``. The tails don't decide, as
-    they depend on how many documents of a language are prose."""
+    """Documents with a visible character whose text isn't natural prose, with
+    their z-scores and flags: those of which less than PROSE_SHARE of the
+    visible characters stand inside sentences, and those that pass this test
+    with words that are far from the prose of their language (``odd_words``).
+    The references are of documents that pass, so that it doesn't matter how
+    many of a language are tables or code."""
     flagged = tail_flags(durable(document_statistics(docs, common_words, id_col, text_col, lang_col)))
-    return flagged.where(F.col("sentence_share") < PROSE_SHARE)
+    return flagged.where((F.col("sentence_share") < PROSE_SHARE) | F.col("odd_words"))

@@ -60,3 +60,18 @@ def test_semicolons_in_prose_and_statements_of_words():
     assert share("This is the order of the files;\nit is kept by the writer.") > 0.9
     assert share('def f():\n    assert the_item is not None, f"the item is not found in {the_list!r}"\n    names = [x for x in the_list if x and x is not the_item]\n    log.debug("the item is not in the list: %s", x)\n') < 0.3
     assert share("int total = sum of the parts;\nreturn a or b or c;\nx = not a and that or this of it;\n") < 0.3
+
+
+def test_junk_that_passes_as_sentences(spark):
+    """Junk letters meet short common words by chance; the tails of their language tell."""
+    junk = "a;sq qlfja a;lskdj fqwlk; a;dkfj s;lfkqj a;wdkl sqfd"
+    few = "Please check that larger caches still survive when compaction ends, which happened yesterday."
+    assert share(junk) > 0.9 and share(few) > 0.9
+    german = "Wenn der Speicher voll ist, wird die Datei nicht gelesen."
+    docs = [(k, f"When the packer {'starts' * (k % 3)} it reads each file that was in the queue of {'writer' * (k % 4)}.", "en") for k in range(40)]
+    docs += [(k, TABLE.replace("1", str(k)), "en") for k in range(100, 300)] + [(400, junk, "en"), (401, few, "en"), (402, german, "de")]
+    words = spark.createDataFrame(WORDS, "lang string, word string")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in not_prose(df, words).collect()} == {*range(100, 300), 400}
+    refs = {r["group"]: r for r in language_references(document_statistics(df, words)).collect()}
+    assert refs["en"]["n"] == 42 and refs["en"]["sentence_share_at"] > 0.9
